@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -18,21 +17,22 @@ def folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Write df as Parquet and read it back: lineage ends here."""
+    """Write df as Parquet and read it back: lineage ends here, and the shuffle files of the write are deleted when it ends."""
     spark = df.sparkSession
     path = folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver's collector find the plans of finished jobs, so that Spark deletes their shuffle files now."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop(df: DataFrame) -> None:
     """Delete a table that saved() wrote and nothing reads any more."""
     spark = df.sparkSession
