@@ -10,7 +10,7 @@ the largest name), so equal windows choose equal anchors.
 Spark groups the runs of consecutive windows with one anchor by anchor.  A run whose words were already
 seen in a smaller document is resolved at once: this settles the inside of long repeats.  Runs that share
 an anchor, but not all words, are their edges or chance; only their windows are compared one by one, by
-128 bits of hash.  Anchors of a single document, most of them, go no further.
+80 bits of hash.  Anchors of a single document, most of them, go no further.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .store import drop, saved
 
-WINDOW, ROUNDS = 13, 5
+WINDOW, ROUNDS = 13, 4
 
 
 def _with_next(low, high, of_low, of_high, joins, far):
@@ -146,17 +146,25 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
             w = W.split(b.column("text"))
             _, name, begin, end, owner, h = runs(w, window, rounds)
             salt = W.mix(np.arange(len(b)).astype(W.U) + W.U(77))  # a run of one text differs from the same one of another
-            size, cols = end - begin, []
+            size, docs_of, places = end - begin, b.column("doc_id").to_numpy(), []
             for c in ("gone", "open"):
                 lists = b.column(c)
                 known = lists.flatten().to_numpy(zero_copy_only=False).view(W.U) ^ np.repeat(salt, lists.value_lengths().to_numpy(zero_copy_only=False))
                 hit = np.flatnonzero(np.isin(name ^ salt[owner], known))
-                at = np.repeat(begin[hit], size[hit]) + np.arange(size[hit].sum()) - np.repeat(np.cumsum(size[hit]) - size[hit], size[hit])
-                off = np.searchsorted(np.repeat(owner[hit], size[hit]), np.arange(len(b) + 1)).astype(np.int32)
-                begins = (at - np.repeat(w.first[:-1], np.diff(off))).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(off), pa.array(begins)))
-            cols += [pa.ListArray.from_arrays(pa.array(off), pa.array(W.grams(h, window, k)[at].view(np.int64))) for k in (31, 37)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *cols], ["doc_id", "text_hash", "gone", "at", "k1", "k2"])
+                places.append(np.repeat(begin[hit], size[hit]) + np.arange(size[hit].sum()) - np.repeat(np.cumsum(size[hit]) - size[hit], size[hit]))
+            gone, at = places
+            k1, k2 = W.grams(h, window, 31)[at], W.grams(h, window, 37)[at] >> W.U(48)
+            # what a smaller document of this batch has needs no comparison elsewhere, so common windows leave few rows
+            of = w.text_of
+            doc = docs_of[of[at]]
+            order = np.lexsort((doc, k2, k1))
+            new = np.flatnonzero(np.append(True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1]))[: len(at)])
+            low = np.empty(len(at), np.int64)
+            low[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(at))))
+            later = doc > low
+            gone, at, k1, k2 = np.sort(np.concatenate([gone, at[later]])), at[~later], k1[~later], k2[~later]
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(of[x], np.arange(len(b) + 1)).astype(np.int32)), y) for x, y in ((gone, pa.array((gone - w.first[of[gone]]).astype(np.int32))), (at, pa.array((at - w.first[of[at]]).astype(np.int32))), (at, W.signed(k1)), (at, pa.array(k2.astype(np.int32))))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *lists], ["doc_id", "text_hash", "gone", "at", "k1", "k2"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     named = rows.select("doc_id", "text").mapInArrow(run_rows, "anchor long, name long, doc_id long")
@@ -165,7 +173,7 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     named = named.select("doc_id", "name", F.expr(f"min(doc_id) {whole} < max(doc_id) {whole}").alias("more"), F.expr(f"min(name) {whole} < max(name) {whole}").alias("mixed"), F.expr(f"{same} < doc_id").alias("gone"))
     flags = saved(named.where("more and (gone or mixed)").select("doc_id", "name", "gone"))
     of_doc = flags.groupBy("doc_id").agg(F.collect_list(F.when(F.col("gone"), F.col("name"))).alias("gone"), F.collect_list(F.when(~F.col("gone"), F.col("name"))).alias("open"))
-    found = saved(rows.join(of_doc, "doc_id").select("doc_id", "text", "text_hash", "gone", "open").mapInArrow(resolve, "doc_id long, text_hash long, gone array<int>, at array<int>, k1 array<bigint>, k2 array<bigint>"))
+    found = saved(rows.join(of_doc, "doc_id").select("doc_id", "text", "text_hash", "gone", "open").mapInArrow(resolve, "doc_id long, text_hash long, gone array<int>, at array<int>, k1 array<bigint>, k2 array<int>"))
     drop(flags)
     seen = found.where("size(at) > 0").select("doc_id", "text_hash", F.explode(F.arrays_zip("k1", "k2", "at")).alias("w")).select("doc_id", "text_hash", "w.*")
     later = seen.select("doc_id", "text_hash", "at", F.expr("min(doc_id) over (partition by k1, k2)").alias("low")).where("low < doc_id")
