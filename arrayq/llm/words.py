@@ -134,7 +134,7 @@ def inside(first: np.ndarray, k: int, total: int) -> np.ndarray:
     return ok
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``most`` bytes of text each, at least one row."""
     for b in batches:
         col = b.column(b.schema.get_field_index(column))
