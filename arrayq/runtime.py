@@ -19,11 +19,12 @@ def reachable(spark: SparkSession) -> None:
 
 
 def query(f):
-    """A query or stage whose first argument is the session."""
+    """A query or stage whose first argument is the session; its texts may be long, so Arrow batches have fewer rows than by default."""
 
     @wraps(f)
     def run(spark: SparkSession, *args):
         reachable(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         return f(spark, *args)
 
     return run
