@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long"
-#: Tokenizer versions: an SQL expression of the token count.
+#: Tokenizer versions: a regular expression that matches one token with what surrounds it, its first character as group 1, or text
+#: without tokens.  A token leaves one character of the text, so that no list of tokens is built.
 TOKENIZERS = {
-    "words-1": r"size(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0))",
-    "alnum-1": r"size(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+', 0))",
+    "words-1": r"[\x20\x09-\x0D]*([^\x20\x09-\x0D])[^\x20\x09-\x0D]*[\x20\x09-\x0D]*|[\x20\x09-\x0D]+",
+    "alnum-1": r"[^A-Za-z0-9]*([A-Za-z0-9])[A-Za-z0-9]*[^A-Za-z0-9]*|[^A-Za-z0-9]+",
 }
 
 
 def deltas(docs: DataFrame, tokenizer: str, sign: int | Column = 1) -> DataFrame:
     """(source, lang, tokenizer, sign, tokens) for each row of docs(text, source, lang, ...); null texts have no tokens."""
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), (F.lit(sign) if isinstance(sign, int) else sign).cast("long").alias("sign"), F.expr(TOKENIZERS[tokenizer]).cast("long").alias("tokens"))
+    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), (F.lit(sign) if isinstance(sign, int) else sign).cast("long").alias("sign"), F.coalesce(F.length(F.regexp_replace("text", TOKENIZERS[tokenizer], "$1")), F.lit(0)).cast("long").alias("tokens"))
 
 
 class Rollup:
