@@ -17,7 +17,7 @@ SCHEMA = "source string, lang string, tokenizer string, documents long, tokens l
 #: without tokens.  A token leaves one character of the text, so that no list of tokens is built.
 TOKENIZERS = {
     "words-1": r"[\x20\x09-\x0D]*([^\x20\x09-\x0D])[^\x20\x09-\x0D]*[\x20\x09-\x0D]*|[\x20\x09-\x0D]+",
-    "alnum-1": r"[^A-Za-z0-9]*([A-Za-z0-9])[A-Za-z0-9]*[^A-Za-z0-9]*|[^A-Za-z0-9]+",
+    "alnum-1": r"\P{Alnum}*(\p{Alnum})\p{Alnum}*\P{Alnum}*|\P{Alnum}+",  # ASCII only
 }
 
 
