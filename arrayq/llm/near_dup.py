@@ -8,15 +8,18 @@ pair at Jaccard similarity 0.8 differs in 14 +- 3.3 symbols; one in some 20,000
 lies beyond the limit, and far fewer above 0.8.  What shares a key is compared on signatures, and what
 is near enough is confirmed on the whole shingle sets.
 
-Equal sets collapse into one representative before all that.  Links are confirmed in two rounds: first
-each document with the smallest one of each of its keys, which joins large groups of near copies with
-few pairs; then every pair of near signatures under one key whose ends are not yet in one component.  A key held by more than ``block`` documents is compared in blocks, by different tasks.
+Equal sets collapse into one representative before all that.  Links are confirmed in rounds.  The smallest
+documents of a document's keys are its lows: in each of ``stars`` rounds a document tries one of them, and
+those that are then still apart from their first low try the rest, which joins large groups of near copies with
+few pairs.  Last comes every pair of near signatures under one key whose ends are not yet in one component, each pair
+under the first key that it shares.  A key held by more than ``block`` documents is compared in blocks, by different tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from . import words as W
 from .graph import components
 from .store import saved
 
-CHUNKS, WIDTH, LIMIT, BLOCK = 14, 5, 27, 1024
+CHUNKS, WIDTH, LIMIT, BLOCK, STARS = 14, 5, 27, 1024, 3
 
 
 def shingle_sets(texts: pa.Array, k: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +64,9 @@ def signatures(g: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
 
 
 def keys(sig: np.ndarray, chunks: int, width: int, errors: int) -> np.ndarray:
-    """(texts, keys): for each chunk, each choice of symbols that may differ, a hash of the others."""
+    """(texts, keys): for each chunk, each choice of symbols that may differ, a hash of the others; the key's place is in its lowest bits."""
     left = list(combinations(range(width), width - errors))
-    cols = []
+    cols, place = [], W.U(places(chunks, width, errors) - 1)
     with np.errstate(over="ignore"):
         for c in range(chunks):
             part = sig[:, c * width : (c + 1) * width].astype(W.U)
@@ -71,15 +74,32 @@ def keys(sig: np.ndarray, chunks: int, width: int, errors: int) -> np.ndarray:
                 h = np.full(len(sig), W.mix(np.array([c * len(left) + i + 1], W.U))[0], W.U)
                 for j in keep:
                     h = W.mix((h ^ part[:, j]) * W.U(0x9E3779B97F4A7C15) + W.U(1))
-                cols.append(h)
+                cols.append((h & ~place) | W.U(c * len(left) + i))
     return np.stack(cols, 1) if cols else np.zeros((0, 0), W.U)
 
 
+def places(chunks: int, width: int, errors: int) -> int:
+    """How many values the lowest bits of a key take."""
+    return 1 << (chunks * comb(width, errors) - 1).bit_length()
+
+
+def first_shared(sig: np.ndarray, p: np.ndarray, q: np.ndarray, place: int, width: int, errors: int) -> np.ndarray:
+    """Which pairs of rows p and q share no key of a lower place."""
+    ok, at = np.ones(len(p), bool), 0
+    for c in range(place // comb(width, errors) + 1):
+        part = sig[p, c * width : (c + 1) * width] != sig[q, c * width : (c + 1) * width]
+        for keep in combinations(range(width), width - errors):
+            if at < place:
+                ok &= part[:, list(keep)].any(1)
+            at += 1
+    return ok
+
+
 def matrix(col: pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), n)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, chunks: int = CHUNKS, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, chunks: int = CHUNKS, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK, stars: int = STARS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
     Documents are linked where 100 * |A & B| >= percent * |A | B| for their sets of distinct ``shingle``-word
@@ -88,6 +108,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     null component and is kept.  Rows that repeat a doc_id are taken as copies of one document.  Extra columns are not read.
     """
     n, errors = chunks * width, limit // chunks
+    many = places(chunks, width, errors)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "text"):
@@ -122,7 +143,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
         """Near signatures of different components under one key; rows come sorted by key, block pair and size."""
         held: list[pa.RecordBatch] = []
 
-        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        def pairs(t: pa.Table, place: int) -> Iterator[pa.RecordBatch]:
             t = t.combine_chunks()
             sig = matrix(t.column("sig").combine_chunks(), n)
             doc, comp, size, side, same = (t.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "mine", "alone"))
@@ -134,7 +155,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
                 d = (sig[x, None, :] != sig[None, y, :]).sum(2, dtype=np.uint16)
                 far = (comp[x, None] != comp[None, y]) & (same[x, None] | (side[x, None] != side[None, y]))
                 p, q = np.nonzero((d <= limit) & far & (size[None, y] * percent <= 100 * size[x, None]))
-                p, q = doc[x][p], doc[y][q]
+                p = p + i
+                new = first_shared(sig, p, q, place, width, errors)
+                p, q = doc[p[new]], doc[q[new]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
         last = None
@@ -145,12 +168,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
             cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1), len(b)]
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if held and (key[s], part[s]) != last:
-                    yield from pairs(pa.Table.from_batches(held))
+                    yield from pairs(pa.Table.from_batches(held), int(last[0]) & (many - 1))
                     held = []
                 held.append(b.slice(s, e - s))
                 last = (key[s], part[s])
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from pairs(pa.Table.from_batches(held), int(last[0]) & (many - 1))
 
     signs = saved(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
     classes = saved(signs.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("n_shingles", "f1", "f2", "r.*"))
@@ -166,11 +189,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
         a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         return saved(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long"))
 
-    stars = shared.where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     of = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    stars = stars.join(of("a"), "a").join(of("b"), "b").where(f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}").select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long")
-    links = confirmed(stars)
-    first = components(links).withColumnsRenamed({"node": "doc_id"})
+
+    def linked(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
+        """comps with what the pairs add."""
+        rows = pairs.join(of("a"), "a").join(of("b"), "b").where(f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}").select("a", "b", "sig_a", "sig_b")
+        links = confirmed(rows.mapInArrow(near, "a long, b long"))
+        return components(links if comps is None else links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components."""
+        a, b = (comps.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+
+    # at most as many lows as a document has keys
+    lows = saved(shared.where("doc_id > low").groupBy("doc_id").agg(F.sort_array(F.collect_set("low")).alias("lows")))
+    low = lambda k: lows.select(F.get("lows", F.lit(k)).alias("a"), F.col("doc_id").alias("b"), "lows").where("a is not null")
+    first = None
+    for k in range(stars):
+        first = linked((apart(low(k), first) if first is not None else low(k)).drop("lows"), first)
+    rest = apart(low(0), first).select(F.explode(F.filter("lows", lambda x, i: i >= stars)).alias("a"), "b")
+    first = linked(apart(rest, first), first).withColumnsRenamed({"node": "doc_id"})
     left = shared.select("key", "doc_id").join(first, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     left = left.select("*", F.expr("min(component) over (partition by key) < max(component) over (partition by key)").alias("open"), F.expr("count(*) over (partition by key)").alias("n")).where("open").drop("open")
     blocks = F.ceil(F.col("n") / block)
@@ -178,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     left = left.select("key", "doc_id", "component", "mine", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     left = left.select("key", "doc_id", "component", "mine", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part"), (F.col("mine") == F.col("other")).alias("alone"))
     found = left.join(sigs, "doc_id").repartition("key", "part").sortWithinPartitions("key", "part", "n_shingles").mapInArrow(cross, "a long, b long").distinct()
-    links = links.unionByName(confirmed(found))
+    links = confirmed(found).unionByName(first.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
     comps = components(links).withColumnsRenamed({"node": "doc_id"})
     of_class = classes.join(comps, "doc_id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "doc_id").alias("c"))
     out = signs.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["n_shingles", "f1", "f2"], "left")
