@@ -8,16 +8,19 @@ pair at Jaccard similarity 0.8 differs in 14 +- 3.3 symbols; one in some 20,000
 lies beyond the limit, and far fewer above 0.8.  What shares a key is compared on signatures, and what
 is near enough is confirmed on the whole shingle sets.
 
-Equal sets collapse into one representative before all that.  Links are confirmed in rounds.  The smallest
-documents of a document's keys are its lows: in each of ``stars`` rounds a document tries one of them, and
-those that are then still apart from their first low try the rest, which joins large groups of near copies with
-few pairs.  Last comes every pair of near signatures under one key whose ends are not yet in one component, each pair
-under the first key that it shares.  A key held by more than ``block`` documents is compared in blocks, by different tasks.
+Equal sets collapse into one representative before all that.  Links are confirmed in rounds, which join large groups of
+near copies with few pairs: first each document with the smallest one of all its keys; then, for each number in
+``nearest``, with so many of its nearest ones by signature that are not yet in its component.  Last comes every pair of near
+signatures under one key whose ends are still apart, each pair under the first key that it
+shares.  Beside its signature a document carries, for ``PARITIES`` parts of the hash space, whether it has an odd number of
+shingles there: where two documents differ in this, at least one shingle is in one set only, which bounds their
+similarity from above, so that pairs just below the threshold need no look at the texts.  A key held by more than ``block`` documents is compared in blocks, by different tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 from math import comb
 
@@ -30,7 +33,8 @@ from . import words as W
 from .graph import components
 from .store import saved
 
-CHUNKS, WIDTH, LIMIT, BLOCK, STARS = 14, 5, 27, 1024, 3
+CHUNKS, WIDTH, LIMIT, BLOCK, NEAREST = 14, 5, 27, 1024, (1, 3)
+PARITIES = 2048
 
 
 def shingle_sets(texts: pa.Array, k: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +99,26 @@ def first_shared(sig: np.ndarray, p: np.ndarray, q: np.ndarray, place: int, widt
     return ok
 
 
-def matrix(col: pa.Array, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), n)
+def parities(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, PARITIES / 8) bytes: for each part of the hash space whether the set has an odd number of shingles in it."""
+    n = len(first) - 1
+    at = np.repeat(np.arange(n), np.diff(first)) * PARITIES + (g >> W.U(20)).astype(np.int64) % PARITIES
+    return np.packbits((np.bincount(at, minlength=n * PARITIES) & 1).astype(bool).reshape(n, PARITIES), 1)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, chunks: int = CHUNKS, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK, stars: int = STARS) -> DataFrame:
+def possible(parity_a: np.ndarray, parity_b: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may reach the similarity, given the sum of their sizes: no link is ever lost."""
+    apart = np.bitwise_count(parity_a ^ parity_b).sum(1, dtype=np.int64)
+    return 100 * (both - apart) >= percent * (both + apart)
+
+
+def matrix(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and parities of a column of bytes."""
+    raw = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), 2 * n + PARITIES // 8)
+    return np.ascontiguousarray(raw[:, : 2 * n]).view(np.uint16), raw[:, 2 * n :]
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, chunks: int = CHUNKS, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK, nearest: tuple[int, ...] = NEAREST) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
     Documents are linked where 100 * |A & B| >= percent * |A | B| for their sets of distinct ``shingle``-word
@@ -118,18 +137,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
             if len(full):
                 fps[0][full] = np.add.reduceat(W.mix(g), first[full]).view(np.int64)
                 fps[1][full] = np.bitwise_xor.reduceat(W.mix(g ^ W.U(0x5DEECE66D)), first[full]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), *map(pa.array, fps), pa.array([x.tobytes() for x in signatures(g, first, n)], pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), *map(pa.array, fps), pa.array([x.tobytes() + y.tobytes() for x, y in zip(signatures(g, first, n), parities(g, first), strict=True)], pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                k = keys(matrix(b.column("sig"), n), chunks, width, errors)
+                k = keys(matrix(b.column("sig"), n)[0], chunks, width, errors)
                 yield pa.RecordBatch.from_arrays([W.signed(k.reshape(-1)), pa.array(np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), k.shape[1]))], ["key", "doc_id"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = (matrix(b.column("sig_a"), n) != matrix(b.column("sig_b"), n)).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(d <= limit))
+            (x, u), (y, v) = matrix(b.column("sig_a"), n), matrix(b.column("sig_b"), n)
+            ok = ((x != y).sum(1) <= limit) & possible(u, v, b.column("n_a").to_numpy() + b.column("n_b").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -139,13 +159,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
                 common = np.array([len(np.intersect1d(ga[fa[i] : fa[i + 1]], gb[fb[i] : fb[i + 1]], True)) for i in range(len(b))], np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(100 * common >= percent * (np.diff(fa) + np.diff(fb) - common)))
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Near signatures of different components under one key; rows come sorted by key, block pair and size."""
+    def cross(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Near signatures of different components under one key, for each document the ``most`` nearest or all; rows come sorted by key, block pair and size."""
         held: list[pa.RecordBatch] = []
 
         def pairs(t: pa.Table, place: int) -> Iterator[pa.RecordBatch]:
             t = t.combine_chunks()
-            sig = matrix(t.column("sig").combine_chunks(), n)
+            sig, parity = matrix(t.column("sig").combine_chunks(), n)
             doc, comp, size, side, same = (t.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "mine", "alone"))
             step = max(1, 4_000_000 // (n * max(1, len(doc))))
             for i in range(0, len(doc), step):
@@ -154,11 +174,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
                 x, y = slice(i, i + step), slice(i, to)
                 d = (sig[x, None, :] != sig[None, y, :]).sum(2, dtype=np.uint16)
                 far = (comp[x, None] != comp[None, y]) & (same[x, None] | (side[x, None] != side[None, y]))
-                p, q = np.nonzero((d <= limit) & far & (size[None, y] * percent <= 100 * size[x, None]))
-                p = p + i
-                new = first_shared(sig, p, q, place, width, errors)
-                p, q = doc[p[new]], doc[q[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                good = (d <= limit) & far & (size[None, y] * percent <= 100 * size[x, None])
+                p, q = np.nonzero(good)
+                for at in range(0, len(p), 1 << 16):
+                    u, v = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                    good[u, v] = possible(parity[u + i], parity[v + i], size[u + i] + size[v + i], percent)
+                if most is not None and most < d.shape[1]:
+                    d[~good] = n + 1
+                    q = np.argpartition(d, most - 1, 1)[:, :most]
+                    p = np.repeat(np.arange(len(d)), most)
+                    q = q.reshape(-1)
+                    ok = good[p, q]
+                    p, q = p[ok], q[ok]
+                else:
+                    p, q = np.nonzero(good)
+                apart, p, q = d[p, q], p + i, q + i
+                if most is None:
+                    new = first_shared(sig, p, q, place, width, errors)
+                    apart, p, q = apart[new], p[new], q[new]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(np.minimum(doc[p], doc[q])), pa.array(np.maximum(doc[p], doc[q])), pa.array(apart.astype(np.int32))], ["of", "a", "b", "d"])
 
         last = None
         for b in batches:
@@ -190,35 +224,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
         return saved(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long"))
 
     of = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-
-    def linked(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
-        """comps with what the pairs add."""
-        rows = pairs.join(of("a"), "a").join(of("b"), "b").where(f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}").select("a", "b", "sig_a", "sig_b")
-        links = confirmed(rows.mapInArrow(near, "a long, b long"))
-        return components(links if comps is None else links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components."""
-        a, b = (comps.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
-
-    # at most as many lows as a document has keys
-    lows = saved(shared.where("doc_id > low").groupBy("doc_id").agg(F.sort_array(F.collect_set("low")).alias("lows")))
-    low = lambda k: lows.select(F.get("lows", F.lit(k)).alias("a"), F.col("doc_id").alias("b"), "lows").where("a is not null")
-    first = None
-    for k in range(stars):
-        first = linked((apart(low(k), first) if first is not None else low(k)).drop("lows"), first)
-    rest = apart(low(0), first).select(F.explode(F.filter("lows", lambda x, i: i >= stars)).alias("a"), "b")
-    first = linked(apart(rest, first), first).withColumnsRenamed({"node": "doc_id"})
-    left = shared.select("key", "doc_id").join(first, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    left = left.select("*", F.expr("min(component) over (partition by key) < max(component) over (partition by key)").alias("open"), F.expr("count(*) over (partition by key)").alias("n")).where("open").drop("open")
-    blocks = F.ceil(F.col("n") / block)
-    left = left.select("key", "doc_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).alias("mine"))
-    left = left.select("key", "doc_id", "component", "mine", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    left = left.select("key", "doc_id", "component", "mine", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part"), (F.col("mine") == F.col("other")).alias("alone"))
-    found = left.join(sigs, "doc_id").repartition("key", "part").sortWithinPartitions("key", "part", "n_shingles").mapInArrow(cross, "a long, b long").distinct()
-    links = confirmed(found).unionByName(first.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
-    comps = components(links).withColumnsRenamed({"node": "doc_id"})
+    edges = lambda comps: comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    def candidates(comps: DataFrame, most: int | None = None) -> DataFrame:
+        """(a, b): near signatures under one key and in different components."""
+        left = shared.select("key", "doc_id").join(comps.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        left = left.select("*", F.expr("min(component) over (partition by key) < max(component) over (partition by key)").alias("open"), F.expr("count(*) over (partition by key)").alias("n")).where("open").drop("open")
+        blocks = F.ceil(F.col("n") / block)
+        left = left.select("key", "doc_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).alias("mine"))
+        left = left.select("key", "doc_id", "component", "mine", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        left = left.select("key", "doc_id", "component", "mine", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part"), (F.col("mine") == F.col("other")).alias("alone"))
+        found = left.join(sigs, "doc_id").repartition("key", "part").sortWithinPartitions("key", "part", "n_shingles").mapInArrow(partial(cross, most=most), "of long, a long, b long, d int")
+        if most is None:
+            return found.select("a", "b").distinct()
+        # a document has at most ``most`` for each of its keys
+        best = found.groupBy("of").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a", "b"))), 1, most).alias("p"))
+        return best.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
+
+    stars = shared.where("doc_id > low").groupBy(F.col("doc_id").alias("b")).agg(F.min("low").alias("a"))
+    stars = stars.join(of("a"), "a").join(of("b"), "b").where(f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(near, "a long, b long")
+    comps = components(confirmed(stars))
+    for most in (*nearest, None):
+        comps = components(confirmed(candidates(comps, most)).unionByName(edges(comps)))
+    comps = comps.withColumnsRenamed({"node": "doc_id"})
     of_class = classes.join(comps, "doc_id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "doc_id").alias("c"))
     out = signs.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["n_shingles", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
