@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .queries import grid, signal
+from .runtime import query
+
+QUERIES: dict = {k: query(f) for k, f in (signal.QUERIES | grid.QUERIES).items()}
+SQL: dict = signal.SQL | grid.SQL

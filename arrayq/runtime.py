@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> None:
@@ -28,3 +30,15 @@ def query(f):
         return f(spark, *args)
 
     return run
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written as Parquet under ``spark.checkpoint.dir`` and read again, so that lost executors cost no recomputation of it."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:  # only where the cluster names no folder, as in tests
+        top = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    path = f"{top.rstrip('/')}/arrays/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
