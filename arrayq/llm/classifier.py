@@ -69,19 +69,21 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 150) -> np.ndarray:
     """Logistic regression by Nesterov's method; the last coefficient is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    n = max(weight.sum(), 1e-9)
-    v = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), x.dtype)
+    n, kind = max(weight.sum(), 1e-9), x.dtype
+    # the intercept's column of ones is never made, as x may be large
+    times = lambda v: x @ v[:-1] + v[-1]
+    back = lambda r: np.append(r.astype(kind) @ x, r.sum()).astype(kind)
+    v = np.full(x.shape[1] + 1, 1 / np.sqrt(x.shape[1] + 1), kind)
     for _ in range(15):
-        v = x.T @ (weight * (x @ v)).astype(x.dtype)
+        v = back(weight * times(v))
         v /= np.linalg.norm(v) + 1e-12
-    rate = 1 / (0.25 * float(v @ (x.T @ (weight * (x @ v)).astype(x.dtype))) / n * 1.05 + penalty / n)
-    c = last = np.zeros(x.shape[1], x.dtype)
+    rate = 1 / (0.25 * float(v @ back(weight * times(v))) / n * 1.05 + penalty / n)
+    c = last = np.zeros(x.shape[1] + 1, kind)
     for t in range(steps):
         p = c + (t / (t + 3)) * (c - last)
-        g = x.T @ (weight * (sigmoid(x @ p) - y)).astype(x.dtype) / n
+        g = back(weight * (sigmoid(times(p)) - y)) / n
         g[:-1] += penalty / n * p[:-1]
-        last, c = c, p - rate * g
+        last, c = c, (p - rate * g).astype(kind)
     return c
 
 
@@ -123,9 +125,13 @@ def presence(vocabulary: np.ndarray, h: np.ndarray, owner: np.ndarray, n: int) -
 
 def choose_words(h: np.ndarray, owner: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """The words that tell y best: by squared standardised difference of document frequencies."""
-    v, inv = np.unique(h, return_inverse=True)
-    pos = np.bincount(inv, y[owner], minlength=len(v))
-    df = np.bincount(inv, minlength=len(v))
+    order = np.argsort(h)
+    sorted_ = h[order]
+    at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))[: len(h)]
+    v, df = sorted_[at], np.diff(np.append(at, len(h)))
+    del sorted_
+    pos = np.add.reduceat(y[owner[order]].astype(np.float32), at) if len(at) else np.zeros(0)
+    pos = pos.astype(float)
     p = max(y.mean(), 1e-6)
     z = (pos - df * p) ** 2 / (df * p * (1 - p) + 1e-9)
     z[df < 3] = 0
@@ -147,7 +153,7 @@ def cotrain(words: tuple[np.ndarray, np.ndarray], meta: np.ndarray, y: np.ndarra
     v = choose_words(h[own], ids[owner[own]], y[train].astype(float), vocabulary)
     x = [presence(v, h, owner, len(y)), meta]
     mean, scale = [np.zeros(len(v), np.float32), meta[train].mean(0)], [np.ones(len(v), np.float32), meta[train].std(0) + 1e-3]
-    x = [((a - m) / s).astype(np.float32) for a, m, s in zip(x, mean, scale, strict=True)]
+    x[1] = ((meta - mean[1]) / scale[1]).astype(np.float32)  # words are taken as they are
     target, weight = [y.astype(float).clip(0) for _ in x], [train.astype(float) for _ in x]
     pool = np.flatnonzero(~known)
     for r in range(rounds):
@@ -189,12 +195,15 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tupl
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in m], pa.binary()), pa.array([h[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "meta", "words"])
 
     # ids has at most labelled + pool rows
-    got = sorted(_rows(docs).join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, meta binary, words binary").dropDuplicates(["doc_id"]).collect())
-    meta = np.array([np.frombuffer(r[1], np.float32) for r in got]).reshape(len(got), -1)
-    h = [np.frombuffer(r[2], np.uint64) for r in got]
-    owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
-    y = np.array([chosen.get(r[0], (-1, -1)) for r in got], np.int64).reshape(-1, 2)
-    return meta, y[:, 0], y[:, 1], (np.concatenate(h) if h else np.zeros(0, np.uint64), owner)
+    got = _rows(docs).join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, meta binary, words binary").dropDuplicates(["doc_id"]).toArrow()
+    ids = got["doc_id"].to_numpy()
+    order = np.argsort(ids).tolist()
+    meta = np.array([np.frombuffer(x.as_buffer(), np.float32) for x in map(got["meta"].__getitem__, order)], np.float32).reshape(len(got), -1 if len(got) else 0)
+    h = [np.frombuffer(x.as_buffer(), np.uint64) for x in map(got["words"].__getitem__, order)]
+    owner = np.repeat(np.arange(len(h), dtype=np.int32), [len(x) for x in h])
+    h = np.concatenate(h) if h else np.zeros(0, np.uint64)
+    y = np.array([chosen.get(k, (-1, -1)) for k in ids[order].tolist()], np.int64).reshape(-1, 2)
+    return meta, y[:, 0], y[:, 1], (h, owner)
 
 
 def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, reject: float = REJECT) -> DataFrame:
