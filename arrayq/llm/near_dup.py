@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .store import saved
+from .store import drop, saved
 
 CHUNKS, WIDTH, LIMIT, BLOCK, NEAREST = 14, 5, 27, 1024, (1, 3)
 PARITIES = 2048
@@ -246,6 +246,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     comps = components(confirmed(stars))
     for most in (*nearest, None):
         comps = components(confirmed(candidates(comps, most)).unionByName(edges(comps)))
+    for t in (shared, texts):  # what follows reads neither
+        drop(t)
     comps = comps.withColumnsRenamed({"node": "doc_id"})
     of_class = classes.join(comps, "doc_id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "doc_id").alias("c"))
     out = signs.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["n_shingles", "f1", "f2"], "left")
