@@ -22,7 +22,7 @@ from .stencils import State, Step, catalog, eligible, start
 
 #: Cells of a block on each axis, by number of dimensions; what the filter allows, in units of the error bound.
 BLOCKS, THRESHOLD = {1: 262144, 2: 512, 3: 64, 4: 16}, 9.0
-METHODS = ("fix", "hde", "fhde")
+METHODS = ("fix", "ridge", "robust")
 
 
 def neighbours(targets: DataFrame, known: DataFrame, step: Step, shape: Sequence[int], value: str = "y") -> DataFrame:
@@ -50,7 +50,7 @@ def regressors(step: Step, shape: Sequence[int], sizes: Sequence[int]) -> tuple[
 
 
 def with_prediction(rows: DataFrame, step: Step, shape: Sequence[int], sizes: Sequence[int], method: str, e, by: Sequence[str] = (), threshold: float = THRESHOLD, coefficient_bound: float | None = None) -> DataFrame:
-    """rows with pred, by the method: ``fix`` the mean of the neighbours, ``hde`` a ridge fit for each block, ``fhde`` one refitted without outliers."""
+    """rows with pred, by the method: ``fix`` the mean of the neighbours, ``ridge`` a ridge fit for each block, ``robust`` one refitted without outliers."""
     xs, base = regressors(step, shape, sizes)
     if method == "fix":
         return rows.withColumn("pred", P.applied(F.array(*map(F.lit, base)), xs))
@@ -58,7 +58,7 @@ def with_prediction(rows: DataFrame, step: Step, shape: Sequence[int], sizes: Se
         raise ValueError(f"unknown method {method}")
     keys = [*by, *(f"b{k}" for k in range(len(shape)))]
     rows = rows.withColumns({f"b{k}": F.expr(f"i{k} div {s}") for k, s in enumerate(sizes)})
-    w = P.robust_fit(rows, keys, xs, F.col("x"), base, B.num(e) * threshold if method == "fhde" else None)
+    w = P.robust_fit(rows, keys, xs, F.col("x"), base, B.num(e) * threshold if method == "robust" else None)
     w = w.select(*keys, F.col("w").alias("__w"))
     if coefficient_bound is not None:
         w = w.withColumn("__w", F.transform(Q.coefficients(F.col("__w"), F.array(*map(F.lit, base)), coefficient_bound), lambda c: c["value"]))

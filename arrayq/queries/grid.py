@@ -195,7 +195,7 @@ def _multilevel(method: str):
 def plan_search(spark, sf) -> DataFrame:
     s = plane(spark, sf)
     shape = (s.agg(F.max("i0")).first()[0] + 1, WIDTH)
-    _, found = codec.searched(s, shape, 3, BOUND, "fhde", (100, 100))
+    _, found = codec.searched(s, shape, 3, BOUND, "robust", (100, 100))
     return spark.createDataFrame(found, "step int, stencil int, loss double")
 
 
@@ -261,7 +261,7 @@ _SWEEP = f"""{PLANE.partition(", a as")[0]}, e as (select i // 1000 as block, x,
 
 def sweep_grid(spark, sf) -> DataFrame:
     bounds = spark.createDataFrame([(x,) for x in (0.1, 0.01, 0.001)], "rel_eb double")
-    codecs = spark.createDataFrame([("fix",), ("hde",), ("fhde",)], "codec string")
+    codecs = spark.createDataFrame([("fix",), ("ridge",), ("robust",)], "codec string")
     return S.grid(table(spark, sf, "nation").select(F.col("n_name").alias("dataset")), bounds, codecs).withColumn("label", S.bound_label(F.col("rel_eb")))
 
 
@@ -303,7 +303,7 @@ def sweep_missing(spark, sf) -> DataFrame:
 
 def sweep_wide(spark, sf) -> DataFrame:
     old, new = _tables(spark, sf)
-    return S.wide(old.unionByName(new.withColumn("codec", F.lit("hde"))), ["fix", "hde"])
+    return S.wide(old.unionByName(new.withColumn("codec", F.lit("ridge"))), ["fix", "ridge"])
 
 
 def model_ratio(spark, sf) -> DataFrame:
@@ -400,14 +400,14 @@ SQL = {
         left join x b on b.region = t.region and b.d0 = t.d0 + 1 and b.d1 = t.d1 left join x e on e.region = t.region and e.d0 = t.d0 and e.d1 = t.d1 - 1 left join x f on f.region = t.region and f.d0 = t.d0 and f.d1 = t.d1 + 1),
         u as (select *, nullif((m0 + p0 - 2 * c) / 2, 0) as a0, nullif((m1 + p1 - 2 * c) / 2, 0) as a1 from n), v as (select *, (m0 - p0) / 4 / a0 as s0, (m1 - p1) / 4 / a1 as s1 from u), h as (select *, c - a0 * s0 * s0 as h0, c - a1 * s1 * s1 as h1 from v)
         select region, d0, d1, {R("s0", 5)} as shift0, {R("s1", 5)} as shift1, {R("(h0 + h1) / 2", 5)} as contrast, case when h0 / a0 <= 0 then {R("sqrt(greatest(-h0 / 2 / a0, 0)) * 2.3548e0", 5)} end as fwhm0, case when h1 / a1 <= 0 then {R("sqrt(greatest(-h1 / 2 / a1, 0)) * 2.3548e0", 5)} end as fwhm1 from h""",
-    "sweep_grid": "select n_name as dataset, rel_eb, codec, case rel_eb when 0.1e0 then '1.0e-01' when 0.01e0 then '1.0e-02' else '1.0e-03' end as label from nation, (select unnest([0.1e0, 0.01e0, 0.001e0]) as rel_eb), (select unnest(['fix', 'hde', 'fhde']) as codec)",
+    "sweep_grid": "select n_name as dataset, rel_eb, codec, case rel_eb when 0.1e0 then '1.0e-01' when 0.01e0 then '1.0e-02' else '1.0e-03' end as label from nation, (select unnest([0.1e0, 0.01e0, 0.001e0]) as rel_eb), (select unnest(['fix', 'ridge', 'robust']) as codec)",
     "sweep_merge": f"with {_SWEEP} select rel_eb, {R('count(*) / sum(1 / cr)')} as cr, {R('20 * log10(max(hi) - min(lo)) - 10 * log10(avg(mse))')} as psnr, count(*) as blocks from w group by rel_eb",
     "target_cr_grid": f"with {_SWEEP} select block, arg_min(rel_eb, (abs(cr - 20), rel_eb)) as rel_eb, {R('arg_min(cr, (abs(cr - 20), rel_eb))')} as cr from w group by block",
     "best_bound": f"with {_SWEEP} select block, arg_min(rel_eb, (-mse, rel_eb)) as rel_eb, {R('max(mse)')} as mse from w group by block",
     "middle_block": f"with {_SWEEP}, o as (select *, row_number() over (partition by rel_eb order by block) as r, count(*) over (partition by rel_eb) as n from w) select rel_eb, block, {R('cr')} as cr from o where r = n // 2 + 1",
     "sweep_upsert": f"with {_TABLES} select dataset, rel_eb, codec, coalesce(w.cr, o.cr) as cr, coalesce(w.psnr, o.psnr) as psnr from o full join w using (dataset, rel_eb, codec)",
     "sweep_missing": f"with {_TABLES} select dataset, rel_eb, codec from w where not exists (select 1 from o where o.dataset = w.dataset and o.cr is not null and o.psnr is not null)",
-    "sweep_wide": f"""with {_TABLES}, u as (select * from o union all select dataset, rel_eb, 'hde', cr, psnr from w) select dataset, rel_eb, max(cr) filter (codec = 'fix') as "fix_CR", max(psnr) filter (codec = 'fix') as "fix_PSNR", max(cr) filter (codec = 'hde') as "hde_CR", max(psnr) filter (codec = 'hde') as "hde_PSNR" from u group by dataset, rel_eb""",
+    "sweep_wide": f"""with {_TABLES}, u as (select * from o union all select dataset, rel_eb, 'ridge', cr, psnr from w) select dataset, rel_eb, max(cr) filter (codec = 'fix') as "fix_CR", max(psnr) filter (codec = 'fix') as "fix_PSNR", max(cr) filter (codec = 'ridge') as "ridge_CR", max(psnr) filter (codec = 'ridge') as "ridge_PSNR" from u group by dataset, rel_eb""",
     "model_ratio": f"select lang, {R('sum(strlen(text)) / sum(ceil(strlen(text) / 3))')} as cr, {R('avg(log2(length(text) + 1))')} as loss from documents where text is not null group by lang",
     "catalog_regex_median": """with f as (select printf('16_%d_%d_2048_%04d.bin', range % 7 + 4, range % 3 + 20, range * 37 % 600) as name, cast(range % 7 + 4 as integer) as k1, cast(range % 3 + 20 as integer) as k2 from range(600)),
         o as (select *, row_number() over (partition by k1, k2 order by name) as r, count(*) over (partition by k1, k2) as n from f) select k1, k2, name, n from o where r = n // 2 + 1""",

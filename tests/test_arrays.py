@@ -234,3 +234,23 @@ def test_speckle_shift(spark):
 def test_bisection_ends():
     bound, value = S.bisected(lambda e: 100 * e, 1e-3, 1.0, 7.0)
     assert abs(value - 7) <= 0.07 and S.bisected(lambda e: 1.0, 1e-3, 1.0, 7.0, most=5)[1] == 1.0
+
+
+def test_truncation_rank_and_standardized_fit(spark):
+    reachable(spark)
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal(20).astype(np.float32)
+    got = [r.y for r in E.truncated(grid(spark, a), 2).orderBy("i0").collect()]
+    assert got == (a.view(np.uint32) & np.uint32(0xFFFF0000)).view(np.float32).astype(float).tolist()
+    v = rng.standard_normal((200, 2)) @ rng.standard_normal((2, 6))
+    df = spark.createDataFrame([(x.tolist(),) for x in v] + [(None,)], "v array<double>")
+    values = np.sort(np.linalg.eigvalsh(np.cov(v.T)))[::-1].clip(0)
+    want = int(np.searchsorted(np.cumsum(values) / values.sum(), 0.95) + 1)
+    assert tuple(M.effective_rank(df, "v").first()) == (want, 6)
+    x = rng.standard_normal((100, 2)) * [1.0, 50.0] + [3.0, 0.0]
+    y = x @ [0.5, -0.2] + 7 + 0.001 * rng.standard_normal(100)
+    rows = spark.createDataFrame([(0, *map(float, r), float(t)) for r, t in zip(x, y)] + [(1, 1.0, 2.0, 3.0)], "g long, a double, b double, y double")
+    fits = {r.g: r for r in P.standardized_fit(rows, ["g"], [F.col("a"), F.col("b")], F.col("y"), [0.5, 0.5, 0.0], 1.0).collect()}
+    plain_fit = np.linalg.lstsq(np.hstack([x, np.ones((100, 1))]), y, rcond=None)[0]
+    assert fits[0].n == 100 and np.allclose(fits[0].w, plain_fit, atol=1e-5)
+    assert fits[1].n == 0 and list(fits[1].w) == [0.5, 0.5, 0.0]
