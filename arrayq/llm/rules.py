@@ -53,7 +53,7 @@ def at_most(k: int, n: int, p: float) -> float:
     """P(X <= k) for X ~ Binomial(n, p), exactly (in logs)."""
     if k >= n:
         return 1.0
-    head = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, max(-1, k - 4000), -1)]
+    head = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, -1, -1)]
     top = max(head)
     return min(1.0, exp(top) * sum(exp(x - top) for x in head))
 
