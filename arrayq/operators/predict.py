@@ -167,3 +167,22 @@ def standardized_fit(df: DataFrame, keys: Sequence[str], xs: Sequence[Column], y
     refit = fit(again.where(F.abs(miss) <= num(limit)).drop("__w")).select(*keys, F.col("w").alias("__w"), F.col("n").alias("__n"))
     start = F.array(*(F.lit(float(b)) for b in base))
     return df.select(*keys).distinct().join(refit, list(keys), "left").select(*keys, F.coalesce("__n", F.lit(0)).alias("n"), F.coalesce("__w", start).alias("w"))
+
+
+def mean_of_present(df: DataFrame, ndim: int, offsets: Sequence[Sequence[int]], value: str = "x") -> DataFrame:
+    """(i0.., value, pred): mean of those neighbours that are inside the array; 0 without any."""
+    there = F.filter(F.array(*(F.col(f"n{k}") for k in range(len(offsets)))), lambda v: v.isNotNull())
+    total = F.aggregate(there, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return gathered(df, ndim, offsets, value).select(*axes(ndim), value, F.when(F.size(there) > 0, total / F.size(there)).otherwise(F.lit(0.0)).alias("pred"))
+
+
+def quadratic(df: DataFrame, sizes: Sequence[int], ridge: float = 1e-9) -> DataFrame:
+    """(b0.., n, w): the least-squares quadric of each block over t_k, the place on axis k scaled to [-1, 1].
+
+    w goes with 1, the t_k, and the products t_j * t_k for j <= k.  A coefficient that a block's cells don't determine is drawn to 0 by ``ridge``.
+    """
+    ndim = len(sizes)
+    t = [(F.col(f"i{k}") % s) * (2.0 / max(1, s - 1)) - 1.0 for k, s in enumerate(sizes)]
+    xs = [F.lit(1.0), *t, *(t[j] * t[k] for j in range(ndim) for k in range(j, ndim))]
+    keys = [f"b{k}" for k in range(ndim)]
+    return solve(gram(df.withColumns({f"b{k}": F.expr(f"i{k} div {s}") for k, s in enumerate(sizes)}), keys, xs, F.col("x")), [0.0] * len(xs), ridge)
