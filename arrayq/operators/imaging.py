@@ -27,9 +27,9 @@ def region_of_interest(df: DataFrame, centre: Sequence[int], width: Sequence[int
     return out
 
 
-def region_boxes(mask: DataFrame, region: str = "region") -> DataFrame:
-    """(region, n, lo0, hi0, lo1, hi1, size0, size1, centre0, centre1) of the cells of each region; region 0 and null are outside."""
-    a = mask.where(F.col(region) != 0).groupBy(region).agg(F.count("*").alias("n"), *(f(f"i{k}").alias(f"{n}{k}") for k in (0, 1) for n, f in (("lo", F.min), ("hi", F.max))))
+def region_boxes(mask: DataFrame, region: str = "region", by: Sequence[str] = ()) -> DataFrame:
+    """(by, region, n, lo0, hi0, lo1, hi1, size0, size1, centre0, centre1) of the cells of each region; region 0 and null are outside."""
+    a = mask.where(F.col(region) != 0).groupBy(*by, region).agg(F.count("*").alias("n"), *(f(f"i{k}").alias(f"{n}{k}") for k in (0, 1) for n, f in (("lo", F.min), ("hi", F.max))))
     size = {f"size{k}": F.col(f"hi{k}") - F.col(f"lo{k}") + 1 for k in (0, 1)}
     return a.withColumns(size).withColumns({f"centre{k}": F.expr(f"size{k} div 2") for k in (0, 1)})
 

@@ -239,6 +239,39 @@ def subpixel_peak(spark, sf) -> DataFrame:
     return rounded(p, "shift0", "shift1", "contrast", "fwhm0", "fwhm1", digits=5)
 
 
+def _frames(spark, sf) -> DataFrame:
+    """(frame, i0, i1, region, x) of every cell: frames of 12 rows, regions 1, 2, .. of 12 columns; bad pixels lie in region 0."""
+    good = F.expr("(i0 % 12 + i1) % 7 <> 0")
+    return plane(spark, sf).select(F.expr("i0 div 12").alias("frame"), (F.col("i0") % 12).alias("i0"), "i1", F.when(good, F.expr("i1 div 12") + 1).otherwise(0).alias("region"), "x")
+
+
+def _frame_pairs(spark, sf) -> DataFrame:
+    """Each frame's pixels as a with those of the next frame as b, outside region 0."""
+    cells = _frames(spark, sf).where("region <> 0")
+    following = cells.select((F.col("frame") - 1).alias("frame"), "i0", "i1", F.col("x").alias("b"))
+    return cells.withColumnRenamed("x", "a").join(following, ["frame", "i0", "i1"])
+
+
+_MASKED = f"{PLANE}, f as (select i0 // 12 as frame, i0 % 12 as i0, i1, case when (i0 % 12 + i1) % 7 <> 0 then i1 // 12 + 1 else 0 end as region, x from a)"
+_LAGS = f"""{_MASKED}, p as (select u.frame, u.i0, u.i1, u.region, u.x as a, v.x as b from f u join f v on v.frame = u.frame + 1 and v.i0 = u.i0 and v.i1 = u.i1 where u.region <> 0), m as (select frame, region, avg(a) as ma, avg(b) as mb from p group by frame, region),
+    k as (select u.frame, u.region, u.i0 - v.i0 as d0, u.i1 - v.i1 as d1, sum(u.a * v.b) as cc, count(*) as overlap, sum(u.a) as l, sum(v.b) as r from p u join p v on u.frame = v.frame and u.region = v.region and abs(u.i0 - v.i0) <= 3 and abs(u.i1 - v.i1) <= 3 group by 1, 2, 3, 4)"""
+
+
+def frame_region_boxes(spark, sf) -> DataFrame:
+    return G.region_boxes(_frames(spark, sf), by=["frame"])
+
+
+def frame_cross_correlation(spark, sf) -> DataFrame:
+    c = G.correlation(_frame_pairs(spark, sf), (3, 3), ["frame", "region"])
+    return rounded(c.select("frame", "region", "d0", "d1", "overlap", "cc", G.symmetric(c).alias("sym"), G.regular(c).alias("reg")), "cc", "sym", "reg", digits=5)
+
+
+def frame_subpixel_peak(spark, sf) -> DataFrame:
+    by = ["frame", "region"]
+    p = G.peak(G.correlation(_frame_pairs(spark, sf), (3, 3), by), by, "cc")
+    return rounded(p, "shift0", "shift1", "contrast", "fwhm0", "fwhm1", digits=5)
+
+
 # sweeps
 
 
@@ -351,7 +384,7 @@ QUERIES = {
     for f in (
         fold3d, unfold, explode_vectors, transpose, rotate, downsample, upsample, blockify, halo_gather, neighbour_gather, tile_merge, *(_lorenzo(*x) for x in LORENZO), block_regression_3d, previous_frame, predictability_by_axis, frame_stats,
         group_ranges, sampled_blocks, effective_rank, group_moments, stencil_catalog, stencil_neighbours, stencil_eligibility, level_assignment, pivots, level_plan, *map(_multilevel, codec.METHODS), plan_search, bitfield_decode, roi_slice,
-        region_boxes, cross_correlation, subpixel_peak, sweep_grid, sweep_merge, target_cr_grid, best_bound, middle_block, sweep_upsert, sweep_missing, sweep_wide, model_ratio, catalog_regex_median, renamed_bounds, log_scrape,
+        region_boxes, cross_correlation, subpixel_peak, frame_region_boxes, frame_cross_correlation, frame_subpixel_peak, sweep_grid, sweep_merge, target_cr_grid, best_bound, middle_block, sweep_upsert, sweep_missing, sweep_wide, model_ratio, catalog_regex_median, renamed_bounds, log_scrape,
         plan_parse, block_files, text_rows,
     )
 }
@@ -400,6 +433,9 @@ SQL = {
         left join x b on b.region = t.region and b.d0 = t.d0 + 1 and b.d1 = t.d1 left join x e on e.region = t.region and e.d0 = t.d0 and e.d1 = t.d1 - 1 left join x f on f.region = t.region and f.d0 = t.d0 and f.d1 = t.d1 + 1),
         u as (select *, nullif((m0 + p0 - 2 * c) / 2, 0) as a0, nullif((m1 + p1 - 2 * c) / 2, 0) as a1 from n), v as (select *, (m0 - p0) / 4 / a0 as s0, (m1 - p1) / 4 / a1 as s1 from u), h as (select *, c - a0 * s0 * s0 as h0, c - a1 * s1 * s1 as h1 from v)
         select region, d0, d1, {R("s0", 5)} as shift0, {R("s1", 5)} as shift1, {R("(h0 + h1) / 2", 5)} as contrast, case when h0 / a0 <= 0 then {R("sqrt(greatest(-h0 / 2 / a0, 0)) * 2.3548e0", 5)} end as fwhm0, case when h1 / a1 <= 0 then {R("sqrt(greatest(-h1 / 2 / a1, 0)) * 2.3548e0", 5)} end as fwhm1 from h""",
+    "frame_region_boxes": f"""with {_MASKED}, g as (select frame, region, count(*) as n, min(i0) as lo0, max(i0) as hi0, min(i1) as lo1, max(i1) as hi1 from f where region <> 0 group by frame, region)
+        select *, hi0 - lo0 + 1 as size0, hi1 - lo1 + 1 as size1, (hi0 - lo0 + 1) // 2 as centre0, (hi1 - lo1 + 1) // 2 as centre1 from g""",
+    "frame_cross_correlation": f"""with {_LAGS} select frame, region, d0, d1, overlap, {R('cc', 5)} as cc, {R('case when abs(l * r) > 0 then cc * overlap / l / r else cc end', 5)} as sym, {R('cc / (overlap * ma * mb)', 5)} as reg from k join m using (frame, region)""",
     "sweep_grid": "select n_name as dataset, rel_eb, codec, case rel_eb when 0.1e0 then '1.0e-01' when 0.01e0 then '1.0e-02' else '1.0e-03' end as label from nation, (select unnest([0.1e0, 0.01e0, 0.001e0]) as rel_eb), (select unnest(['fix', 'ridge', 'robust']) as codec)",
     "sweep_merge": f"with {_SWEEP} select rel_eb, {R('count(*) / sum(1 / cr)')} as cr, {R('20 * log10(max(hi) - min(lo)) - 10 * log10(avg(mse))')} as psnr, count(*) as blocks from w group by rel_eb",
     "target_cr_grid": f"with {_SWEEP} select block, arg_min(rel_eb, (abs(cr - 20), rel_eb)) as rel_eb, {R('arg_min(cr, (abs(cr - 20), rel_eb))')} as cr from w group by block",

@@ -254,3 +254,37 @@ def test_truncation_rank_and_standardized_fit(spark):
     plain_fit = np.linalg.lstsq(np.hstack([x, np.ones((100, 1))]), y, rcond=None)[0]
     assert fits[0].n == 100 and np.allclose(fits[0].w, plain_fit, atol=1e-5)
     assert fits[1].n == 0 and list(fits[1].w) == [0.5, 0.5, 0.0]
+
+
+def test_frames_cover_the_whole_plane(spark, tmp_path):
+    """Every frame and every column has its regions, lags and peaks, against sums over single cells."""
+    reachable(spark)
+    rng = np.random.default_rng(9)
+    n = 4000  # 40 rows: three whole frames and four rows of a fourth
+    v = rng.random(n)
+    spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    x = (2 * (v - v.min()) / (v.max() - v.min()) - 1).reshape(40, 100)
+    inside = lambda i, j: (i % 12 + j) % 7 != 0
+    cells = {}
+    for i, j in np.ndindex(x.shape):
+        if inside(i, j):
+            cells.setdefault((i // 12, j // 12 + 1), []).append((i % 12, j))
+    boxes = {(r.frame, r.region): r for r in registry.QUERIES["frame_region_boxes"](spark, str(tmp_path)).collect()}
+    assert {k: (len(c), min(c)[0], max(c)[0], min(j for _, j in c), max(j for _, j in c)) for k, c in cells.items()} == {k: (r.n, r.lo0, r.hi0, r.lo1, r.hi1) for k, r in boxes.items()}
+    want = {}
+    for (f, region), c in cells.items():
+        pairs = [(i, j) for i, j in c if (f + 1) * 12 + i < 40]
+        for i, j in pairs:
+            for p, q in pairs:
+                if abs(i - p) <= 3 and abs(j - q) <= 3:
+                    k = (f, region, i - p, j - q)
+                    cc, m = want.get(k, (0.0, 0))
+                    want[k] = (cc + x[f * 12 + i, j] * x[(f + 1) * 12 + p, q], m + 1)
+    got = {(r.frame, r.region, r.d0, r.d1): r for r in registry.QUERIES["frame_cross_correlation"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and {k[:2] for k in got} == {(f, g) for f in range(3) for g in range(1, 10)}
+    assert all(got[k].overlap == m and abs(got[k].cc - cc) < 2e-5 for k, (cc, m) in want.items())
+    top = {}
+    for k, (cc, _) in want.items():
+        top[k[:2]] = max(top.get(k[:2], (-np.inf,)), (cc, k[2:]))
+    peaks = {(r.frame, r.region): (r.d0, r.d1) for r in registry.QUERIES["frame_subpixel_peak"](spark, str(tmp_path)).collect()}
+    assert peaks == {k: at for k, (_, at) in top.items()}
