@@ -181,6 +181,19 @@ def test_thresholds_keep_good_documents(spark, tmp_path):
     assert lost <= 1500 * 0.02
 
 
+def test_thresholds_reject_planted_junk(spark):
+    """500 good documents are enough: texts full of symbols are rejected, hardly a good one is; with 250, nothing is."""
+    rnd = random.Random(10)
+    assert rules.least_labels(4) == 437 and 0.99**437 <= 0.05 / 4 < 0.99**436
+    rows = [(k, vocabulary_text(rnd, rnd.randrange(30, 120), 5000)) for k in range(1500)]
+    rows += [(k, vocabulary_text(rnd, 40, 5000).replace(" ", "#$ ")) for k in range(2000, 2200)]
+    label = lambda n: spark.createDataFrame([(k, 1, 0) for k in range(n)] + [(k, 0, 0) for k in range(2000, 2050)], "doc_id long, quality int, toxic int")
+    got = rules.judged(frame(spark, rows), label(500)).where("not base_failed").collect()
+    assert {r.kept for r in got if r.doc_id >= 2000} == {False} and sum(r.doc_id >= 2000 for r in got) == 200
+    assert sum(not r.kept for r in got if r.doc_id < 2000) <= 15
+    assert rules.judged(frame(spark, rows), label(250)).where("not base_failed and not kept").count() == 0
+
+
 def test_html(spark):
     page = '<html><head><title>t</title></head><body><nav>Menu</nav><div class="promo-box">ad</div><article><h1>A &amp; b</h1><p>One  two\n<b>three</b></p><div>{}</div><p>own {}</p><ul><li>x<li>y</ul></article><div class="comments"><p>no</p></div><footer>f</footer></body></html>'
     rows = [(k, f"https://h.example/{k}", page.format("Recurring text", k)) for k in range(30)] + [(100, None, None), (101, "odd", ""), (102, "https://i.example/", "<p>just text")]
