@@ -31,6 +31,29 @@ def events(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text", order.cast("long").alias("copy"))
 
 
+def streamed(log: DataFrame) -> DataFrame:
+    """The log in which each whole message of log has come about by several events, in one of four ways by its place and text.
+
+    Deltas after its beginning; a draft, a delta and an edit; a draft that is regenerated; a draft that is deleted and begun again.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.expr("int(ceil(length(coalesce(text, '')) / 3))")
+    pieces = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, third)]
+    draft = F.concat(F.lit("draft "), text)
+    ways = [
+        [("message", pieces[0]), ("delta", pieces[1]), ("delta", pieces[2])],
+        [("message", draft), ("delta", pieces[2]), ("edit", text)],
+        [("message", draft), ("regenerate", F.lit("")), ("delta", pieces[0]), ("delta", pieces[1]), ("delta", pieces[2])],
+        [("message", draft), ("delete", F.lit("")), ("message", pieces[0]), ("delta", pieces[1]), ("delta", pieces[2])],
+    ]
+    event = lambda k, kind, t: F.struct(F.lit(k).cast("long").alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
+    made = [F.array(*(event(k, *e) for k, e in enumerate(w))) for w in ways]
+    way = F.crc32(F.concat_ws(" ", "conv_id", "turn", "copy", "text")) % len(ways)
+    chosen = F.when(way == 0, made[0]).when(way == 1, made[1]).when(way == 2, made[2]).otherwise(made[3])
+    one = log.where("kind = 'message'").select("conv_id", "turn", "copy", "role", F.col("seq").alias("begin"), F.explode(chosen).alias("e"))
+    return one.select("conv_id", "turn", (F.col("begin") + F.col("e.seq")).alias("seq"), "e.kind", "role", "e.text", "copy")
+
+
 def folded(log: DataFrame) -> DataFrame:
     """(conv_id, turn, copy, role, text): final messages of log(conv_id, turn, copy, seq, kind, role, text).
 

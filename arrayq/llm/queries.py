@@ -36,12 +36,20 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four commits: all documents by one tokenizer; by a second one; short documents deleted again; the second commit replayed."""
+    """Totals after five commits: all documents by one tokenizer, some in an older version; by a second one; the older versions
+    revised; short documents deleted again; the second commit replayed.  Then all are folded, and two replayed once more."""
     docs, totals = table(spark, sf_dir, "documents"), token_counts.Rollup(spark, store.folder(spark))
     words, alnum = (token_counts.deltas(docs, k) for k in token_counts.TOKENIZERS)
-    totals.commit(1, words)
+    revised = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 3
+    older = docs.withColumn("text", F.when(revised, F.expr("left(text, length(text) div 2)")).otherwise(F.col("text")))
+    first = token_counts.deltas(older, "words-1")
+    totals.commit(1, first)
     totals.commit(2, alnum)
-    totals.commit(3, words.where("tokens < 20").withColumn("sign", F.lit(-1)))
+    totals.commit(3, token_counts.revisions(older.where(revised), docs.where(revised), "words-1"))
+    totals.commit(4, words.where("tokens < 20").withColumn("sign", F.lit(-1)))
+    totals.commit(2, alnum)
+    totals.compact()
+    totals.commit(1, first)
     totals.commit(2, alnum)
     return totals.totals()
 
@@ -54,7 +62,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema)
-    return chat.digest(store.saved(chat.rendered(chat.folded(chat.events(rows.unionByName(extra))))))
+    return chat.digest(store.saved(chat.rendered(chat.folded(chat.streamed(chat.events(rows.unionByName(extra)))))))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,37 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert r.totals().count() == 0
 
 
+def test_rollup_revises_survives_and_compacts(spark, tmp_path):
+    old, new = frame(spark, [(1, "a b c"), (2, "d")]), frame(spark, [(1, "a b c e"), (2, "d")])
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    now = lambda: [(x.documents, x.tokens) for x in r.totals().collect()]
+    first = token_counts.deltas(old, "words-1")
+    r.commit(1, first)
+    fails = first.withColumn("tokens", F.expr("if(tokens > 0, cast(raise_error('lost') as bigint), 0)"))
+    with pytest.raises(Exception, match="lost"):
+        r.commit(1, fails)  # a replay that breaks off leaves the first attempt in force
+    assert now() == [(2, 4)]
+    r.commit(2, token_counts.revisions(old.where("doc_id = 1"), new.where("doc_id = 1"), "words-1"))
+    assert now() == [(2, 5)]
+    r.compact()
+    r.compact()
+    r.commit(1, first)
+    assert now() == [(2, 5)] and not list(tmp_path.glob("r/batch*"))
+    r.commit(3, token_counts.deltas(new.where("doc_id = 2"), "words-1", -1))
+    r.compact()
+    assert now() == [(1, 4)] and len(list(tmp_path.glob("r/base*"))) == 1
+
+
+def test_streamed_chats_fold_to_their_messages(spark):
+    rnd = random.Random(12)
+    rows = [(k // 3, k % 3, rnd.choice(["user", "assistant", None]), rnd.choice([None, "", "x", "é😀", "some text\n" * rnd.randrange(4)])) for k in range(150)] + [(None, None, "user", "abc")] * 2
+    log = chat.events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    many = chat.streamed(log)
+    assert {r.kind for r in many.collect()} == {"message", "delta", "edit", "regenerate", "delete"} and many.count() >= 3 * len(rows)
+    key = lambda d: sorted(map(repr, d.collect()))
+    assert key(chat.folded(many)) == key(chat.folded(log))
+
+
 def tiled(item, doc, least):
     """Greedy string tiling, token by token."""
     mine, theirs, covered = [False] * len(item), [False] * len(doc), 0
