@@ -4,7 +4,7 @@ A document's signature is ``chunks * width`` min-hash symbols of 16 bits.  Two s
 ``limit`` differing symbols have, by the pigeonhole principle, a chunk with at most limit // chunks of
 them; every choice of that many symbols of a chunk is left out in turn, and the rest is a key, so such
 a pair always shares a key.  With the defaults (70 symbols, 27 may differ, 14 chunks, one error each) a
-pair at Jaccard similarity 0.8 differs in 14 +- 3.3 symbols; one in some 20,000 such borderline pairs
+pair at Jaccard similarity 0.8 differs in 14 +- 3.3 symbols; one in some 10,000 such borderline pairs
 lies beyond the limit, and far fewer above 0.8.  What shares a key is compared on signatures, and what
 is near enough is confirmed on the whole shingle sets.
 
