@@ -1,12 +1,14 @@
-"""Best-fit packing of token sequences, bulk-synchronous.
+"""Best-fit packing of token sequences.
+
+The bulk-synchronous method, rounds of Spark jobs, is replaced: plan() is a sequential best-fit decreasing over counts by size
+in the driver, and Spark only ranks and places.
 
 Only the last, shorter part of a document has to find a place, so every document is one item of 1 to
 ``capacity`` tokens, beside its full pieces, which fill sequences of their own.  Items and gaps are
-ordered by size.  As there are no more sizes than ``capacity``, a round works on counts: for each item
-size its documents, ranked, and for each gap size its open sequences, ranked.  In a round every size
-seeks its successor, the smallest gap that holds it; where several sizes seek the same gap, the larger
-one has the lower rank and goes first; gaps are updated, and what found none opens new sequences, whose
-gaps the next round offers.  The matches are ranges of ranks, at most some
+ordered by size.  As there are no more sizes than ``capacity``, the plan works on counts: for each item
+size its documents, ranked, and for each gap size its open sequences, ranked.  From the largest size on,
+a size goes to its successor, the smallest gap that holds it; gaps are updated, and what found none opens
+new sequences, whose gaps are offered from then on.  The matches are ranges of ranks, at most some
 thousands, so that the plan's size depends on ``capacity`` alone, and Spark places all documents by
 joining their ranks with the ranges.
 """
