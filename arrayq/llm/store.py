@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,3 +40,17 @@ def drop(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has such a column already."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """df without the rows whose column is among the ids (a table of one column); nulls stay, whatever other columns df has."""
+    key = unused(df, "removed")
+    return df.join(ids.toDF(key), df[column] == F.col(key), "left_anti")
