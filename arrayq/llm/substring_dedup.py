@@ -7,7 +7,8 @@ making depended on is carried along; a repeat that covers this stretch holds the
 occurs.  Each window of ``window`` words chooses one such symbol as its anchor (longer ones first, then
 the largest name), so equal windows choose equal anchors.
 
-Spark groups the runs of consecutive windows with one anchor by anchor.  A run whose words were already
+Spark groups the runs of consecutive windows with one anchor by anchor; of the documents of a batch that have the same run only the
+smallest one is sent there, so that a passage which very many documents have sends a row for each megabyte of text.  A run whose words were already
 seen in a smaller document is resolved at once: this settles the inside of long repeats.  Runs that share
 an anchor, but not all words, are their edges or chance; only their windows are compared one by one, by
 80 bits of hash.  Anchors of a single document, most of them, go no further.
@@ -135,10 +136,17 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "text"):
             a, name, _, _, owner, _ = runs(W.split(b.column("text")), window, rounds)
-            order = np.lexsort((name, owner))
-            a, name, owner = a[order], name[order], owner[order]
-            new = np.append(True, (name[1:] != name[:-1]) | (owner[1:] != owner[:-1]))[: len(name)]
-            yield pa.RecordBatch.from_arrays([W.signed(a[new]), W.signed(name[new]), b.column("doc_id").take(pa.array(owner[new]))], ["anchor", "name", "doc_id"])
+            doc = b.column("doc_id").to_numpy()[owner]
+            order = np.lexsort((doc, name))
+            a, name, doc = a[order], name[order], doc[order]
+            first = np.append(True, name[1:] != name[:-1])[: len(name)]
+            new = np.flatnonzero(first | np.append(True, doc[1:] != doc[:-1])[: len(name)])
+            # a run that a smaller document of this batch has is settled here, and goes where its name is not awaited
+            gone = ~first[new]
+            a, name, doc = a[new], name[new], doc[new]
+            with np.errstate(over="ignore"):
+                a = np.where(gone, W.mix(a ^ W.mix(doc.view(W.U) + W.U(9))), a)
+            yield pa.RecordBatch.from_arrays([W.signed(a), W.signed(name), pa.array(doc), pa.array(gone)], ["anchor", "name", "doc_id", "gone"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Begins of the windows of resolved runs, hashes of the windows of open ones."""
@@ -167,11 +175,11 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *lists], ["doc_id", "text_hash", "gone", "at", "k1", "k2"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    named = rows.select("doc_id", "text").mapInArrow(run_rows, "anchor long, name long, doc_id long")
+    named = rows.select("doc_id", "text").mapInArrow(run_rows, "anchor long, name long, doc_id long, gone boolean")
     whole = "over (partition by anchor order by name rows between unbounded preceding and unbounded following)"
     same = "min(doc_id) over (partition by anchor, name)"
-    named = named.select("doc_id", "name", F.expr(f"min(doc_id) {whole} < max(doc_id) {whole}").alias("more"), F.expr(f"min(name) {whole} < max(name) {whole}").alias("mixed"), F.expr(f"{same} < doc_id").alias("gone"))
-    flags = saved(named.where("more and (gone or mixed)").select("doc_id", "name", "gone"))
+    named = named.select("doc_id", "name", F.expr(f"min(doc_id) {whole} < max(doc_id) {whole}").alias("more"), F.expr(f"min(name) {whole} < max(name) {whole}").alias("mixed"), F.expr(f"gone or {same} < doc_id").alias("gone"))
+    flags = saved(named.where("gone or more and mixed").select("doc_id", "name", "gone"))
     of_doc = flags.groupBy("doc_id").agg(F.collect_list(F.when(F.col("gone"), F.col("name"))).alias("gone"), F.collect_list(F.when(~F.col("gone"), F.col("name"))).alias("open"))
     found = saved(rows.join(of_doc, "doc_id").select("doc_id", "text", "text_hash", "gone", "open").mapInArrow(resolve, "doc_id long, text_hash long, gone array<int>, at array<int>, k1 array<bigint>, k2 array<int>"))
     drop(flags)
