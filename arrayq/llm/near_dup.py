@@ -14,7 +14,8 @@ near copies with few pairs: first each document with the smallest one of all its
 signatures under one key whose ends are still apart, each pair under the first key that it
 shares.  Beside its signature a document carries, for ``PARITIES`` parts of the hash space, whether it has an odd number of
 shingles there: where two documents differ in this, at least one shingle is in one set only, which bounds their
-similarity from above, so that pairs just below the threshold need no look at the texts.  A key held by more than ``block`` documents is compared in blocks, by different tasks.
+similarity from above, so that pairs just below the threshold need no look at the texts.  A key held by more than ``block`` documents is compared in blocks, by
+different tasks, the documents of its smallest component only with the others.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -124,7 +125,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     Documents are linked where 100 * |A & B| >= percent * |A | B| for their sets of distinct ``shingle``-word
     runs (fewer words: the whole sequence as one).  component_id is the smallest doc_id reachable; kept
     is doc_id = component_id.  Null or empty text: no shingles, its own component.  A null doc_id has a
-    null component and is kept.  Rows that repeat a doc_id are taken as copies of one document.  Extra columns are not read.
+    null component and is kept.  Rows that repeat a doc_id are taken as copies of one document; if their texts differ,
+    links are confirmed on the smallest of them.  Extra columns are not read.
     """
     n, errors = chunks * width, limit // chunks
     many = places(chunks, width, errors)
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     )
     sigs = classes.select("doc_id", "sig", "n_shingles")
     wanted = shared.select("doc_id").distinct()
-    texts = saved(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = saved(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
@@ -229,11 +231,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     def candidates(comps: DataFrame, most: int | None = None) -> DataFrame:
         """(a, b): near signatures under one key and in different components."""
         left = shared.select("key", "doc_id").join(comps.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        left = left.select("*", F.expr("min(component) over (partition by key) < max(component) over (partition by key)").alias("open"), F.expr("count(*) over (partition by key)").alias("n")).where("open").drop("open")
-        blocks = F.ceil(F.col("n") / block)
-        left = left.select("key", "doc_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).alias("mine"))
-        left = left.select("key", "doc_id", "component", "mine", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        left = left.select("key", "doc_id", "component", "mine", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part"), (F.col("mine") == F.col("other")).alias("alone"))
+        left = left.select("*", F.expr("min(component) over (partition by key)").alias("low"), F.expr("max(component) over (partition by key)").alias("high")).where("low < high")
+        # the smallest component, mostly by far the largest, has no pair inside: its blocks meet those of the others only
+        low = F.col("component") == F.col("low")
+        of_key = Window.partitionBy("key")
+        two = F.min(F.when(~low, F.col("component"))).over(of_key) < F.col("high")  # the others have pairs among themselves
+        left = left.select("key", "doc_id", "component", low.alias("in_low"), two.alias("two"), F.count(F.when(low, 1)).over(of_key).alias("n_low"), F.count(F.when(~low, 1)).over(of_key).alias("n"))
+        lows, others = F.ceil(F.col("n_low") / block), F.ceil(F.col("n") / block)
+        left = left.select("key", "doc_id", "component", "in_low", "two", lows.alias("lows"), others.alias("others"), F.pmod(F.xxhash64("doc_id"), F.when(F.col("in_low"), lows).otherwise(others)).alias("of"))
+        to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        place = lambda part, mine, alone: F.struct(part.cast("long").alias("part"), mine.cast("long").alias("mine"), alone.alias("alone"))
+        with_others = F.transform(to("others"), lambda j: place(1 + 2 * (F.col("of") * F.col("others") + j), F.lit(0), F.lit(False)))
+        with_lows = F.transform(to("lows"), lambda i: place(1 + 2 * (i * F.col("others") + F.col("of")), F.lit(1), F.lit(False)))
+        among = F.transform(to("others"), lambda j: place(2 * (F.least("of", j) * F.col("others") + F.greatest("of", j)), F.col("of"), F.col("of") == j))
+        left = left.select("key", "doc_id", "component", F.explode(F.when(F.col("in_low"), with_others).when(F.col("two"), F.concat(with_lows, among)).otherwise(with_lows)).alias("p")).select("key", "doc_id", "component", "p.*")
         found = left.join(sigs, "doc_id").repartition("key", "part").sortWithinPartitions("key", "part", "n_shingles").mapInArrow(partial(cross, most=most), "of long, a long, b long, d int")
         if most is None:
             return found.select("a", "b").distinct()
