@@ -4,8 +4,9 @@ States emit word classes and a class emits its words: P(word | state) = P(class
 The ``own`` most frequent words are classes by themselves, the others share ``suffixes`` classes by their
 last three bytes, so that the trained tables have a fixed size; P(word | class) comes from exact counts of all
 training words, add-one smoothed with one place for unseen words, and is as large as the corpus' vocabulary.
-Baum-Welch runs over all training texts, cut into stretches of at most ``stretch`` tokens: each task sums its expected counts, Spark adds
-them up by class, the driver normalises at most own + suffixes rows.  The likelihood of a text is the
+Baum-Welch runs over all training texts: each task sums its expected counts, Spark adds
+them up by class, the driver normalises at most own + suffixes rows.  Within a task long texts are worked through in stretches of ``stretch`` tokens
+at once; each takes ``burn`` tokens of its text on both sides along, whose own counts are not added, as a chain forgets its past quickly.  The likelihood of a text is the
 scaled forward recursion over the whole of it.
 
 A word's count reaches the texts in two ways: words with at least N / ``head`` of the N tokens, of which
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .store import saved
 
-STATES, ITERATIONS, OWN, SUFFIXES, HEAD, STRETCH = 8, 3, 8191, 8192, 1 << 21, 256
+STATES, ITERATIONS, OWN, SUFFIXES, HEAD, STRETCH, BURN, TOLERANCE = 8, 3, 8191, 8192, 1 << 21, 512, 16, 1e-3
 END = W.U(0x8F14E45FCEEA167A)  # stands for the end of a text
 
 
@@ -79,23 +81,44 @@ class Lexicon:
         return cls, n
 
 
-def expected(cls: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (starts, moves, emissions by class) over stretches of classes; emit is (classes, states)."""
+def stretches(first: np.ndarray, stretch: int, burn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, given by where each begins, in stretches: (token of each place, where each stretch begins, what counts, which begin a text).
+
+    A stretch has up to ``burn`` tokens of its text before and behind it, which don't count: they make up for the cut.
+    """
+    cut = np.concatenate([np.arange(s, e, stretch) for s, e in zip(first[:-1], first[1:], strict=True)] or [np.zeros(0, np.int64)])
+    text = np.searchsorted(first, cut, "right") - 1
+    begin, end = first[text], first[text + 1]
+    low, high = np.maximum(begin, cut - burn), np.minimum(end, cut + stretch + burn)
+    starts = np.concatenate([[0], np.cumsum(high - low)])
+    at = np.arange(starts[-1]) + np.repeat(low - starts[:-1], high - low)
+    counts = (at >= np.repeat(cut, high - low)) & (at < np.repeat(cut + stretch, high - low))
+    return at, starts, counts, cut == begin
+
+
+def expected(cls: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, counts: np.ndarray | None = None, heads: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (starts, moves, emissions by class) and log likelihood over sequences of classes; emit is (classes, states).
+
+    counts: tokens that count, each with the move to it; heads: sequences that begin a text.
+    """
+    counts = np.ones(len(cls), bool) if counts is None else counts
+    heads = np.ones(len(first) - 1, bool) if heads is None else heads
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
-    begin, size = first[:-1][order], size[order]
+    begin, size, heads = first[:-1][order], size[order], heads[order]
     longest = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
     states = len(start)
     gamma = np.zeros((len(cls), states), np.float32)
     alphas, seen, scale = [], [], []
-    a = None
+    a, likelihood = None, 0.0
     for t in range(longest):
         m = active[t]
         o = emit[cls[begin[:m] + t]]
-        a = (start * o) if t == 0 else (a[:m] @ move) * o
+        a = np.where(heads[:m, None], start, np.float32(1 / states)) * o if t == 0 else (a[:m] @ move) * o
         s = a.sum(1, keepdims=True)
         a = a / s
+        likelihood += float(np.log(s[counts[begin[:m] + t]]).sum(dtype=float))
         alphas.append(a)
         seen.append(o)
         scale.append(s)
@@ -106,12 +129,13 @@ def expected(cls: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.nda
         if t + 1 < longest:
             k = active[t + 1]
             x = seen[t + 1] * b / scale[t + 1]
-            moves += alphas[t][:k].T @ x
+            moves += alphas[t][:k].T @ (x * counts[begin[:k] + t + 1, None])
             after[:k] = x @ move.T
         b = after
         gamma[begin[:m] + t] = alphas[t] * b
-    starts = gamma[begin].sum(0) if len(begin) else np.zeros(states)
-    return starts, moves * move, np.stack([np.bincount(cls, gamma[:, k], len(emit)) for k in range(states)], 1)
+    starts = gamma[begin[heads]].sum(0) if len(begin) else np.zeros(states)
+    cls, gamma = cls[counts], gamma[counts]
+    return starts, moves * move, np.stack([np.bincount(cls, gamma[:, k], len(emit)) for k in range(states)], 1), likelihood
 
 
 def forward(cls: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
@@ -133,53 +157,65 @@ def forward(cls: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndar
     return back
 
 
-def scored(docs: DataFrame, train: DataFrame, states: int = STATES, iterations: int = ITERATIONS, own: int = OWN, suffixes: int = SUFFIXES, head: int = HEAD, stretch: int = STRETCH) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, held_out, text, ...).
+def trained(train: DataFrame, lex: Broadcast, prior: np.ndarray, states: int, iterations: int, suffixes: int, stretch: int, burn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Tables of starts, moves and emissions by Baum-Welch over train(text, ...), and the log likelihood before each iteration.
 
-    train(text, ...): what the model learns from.  Null texts are empty, an empty text has one token, its
-    end.  Without training rows every word is unknown and the score is that of the untrained tables.  Repeated rows are scored alike; nothing else is read.
+    lex: the broadcast Lexicon; prior: shares of the classes.  Ends after ``iterations`` or when one gained less than TOLERANCE of the likelihood.
     """
-    spark = docs.sparkSession
-    counts = saved(word_counts(train, suffixes))
-    n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where((F.col("n") * head >= n_all) | (F.col("word") == int(END.view(np.int64)))).select("word", "n").toArrow()  # at most ``head`` + 1 rows
-    lex = Lexicon(top["word"].to_numpy().view(W.U), top["n"].to_numpy(), own, suffixes)
-    mine = np.sort(lex.words[lex.own >= 0]).view(np.int64).tolist()
-    own_words = spark.createDataFrame([(x,) for x in mine], "word long")  # at most ``own`` rows
-    mass, kinds = np.zeros(lex.classes), np.zeros(lex.classes)
-    for suffix, n, v in counts.join(F.broadcast(own_words), "word", "left_anti").where("suffix >= 0").groupBy("suffix").agg(F.sum("n"), F.count("*")).collect():
-        mass[suffix], kinds[suffix] = n, v
-    mass[lex.own[lex.own >= 0]] = lex.n[lex.own >= 0]
     rng = np.random.default_rng(20)
-    prior = (mass + 0.5) / (mass + 0.5).sum()
-    emit = prior[:, None] * np.exp(0.5 * rng.standard_normal((lex.classes, states)))
+    classes = len(prior)
+    emit = prior[:, None] * np.exp(0.5 * rng.standard_normal((classes, states)))
     emit, start, move = emit / emit.sum(0), np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    shared_lex = spark.sparkContext.broadcast(lex)
-    cols = [f"s{k}" for k in range(states)]
+    cols, history = [f"s{k}" for k in range(states)], []
     for _ in range(iterations):
-        tables = spark.sparkContext.broadcast([x.astype(np.float32) for x in (start, move, emit)])
+        tables = train.sparkSession.sparkContext.broadcast([x.astype(np.float32) for x in (start, move, emit)])
 
         def run(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             total = None
             for b in W.pieces(batches, "text"):
                 h, c, first = tokens(b.column("text"), suffixes)
-                cuts = np.concatenate([*(np.arange(s, e, stretch) for s, e in zip(first[:-1], first[1:], strict=True)), first[-1:]])
-                got = expected(shared_lex.value.look(h, c)[0], cuts, *tables.value)
+                at, starts, counts, heads = stretches(first, stretch, burn)
+                got = expected(lex.value.look(h, c)[0][at], starts, *tables.value, counts, heads)
                 total = got if total is None else [x + y for x, y in zip(total, got, strict=True)]
             if total is not None:
-                rows = np.vstack([total[0], total[1], total[2]])
+                rows = np.vstack([*total[:3], np.full((1, states), total[3] / states)])
                 keep = np.flatnonzero(rows.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array(keep), *(pa.array(rows[keep, k].astype(float)) for k in range(states))], ["row", *cols])
 
         sums = train.select("text").mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in cols)).groupBy("row").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
-        full = np.zeros((1 + states + lex.classes, states))
+        full = np.zeros((2 + states + classes, states))
         full[sums["row"].to_numpy()] = np.stack([sums[c].to_numpy() for c in cols], 1)
         start = (full[0] + 0.1) / (full[0] + 0.1).sum()
         move = full[1 : 1 + states] + 0.1
         move /= move.sum(1, keepdims=True)
-        emit = full[1 + states :] + 10 * prior[:, None]
+        emit = full[1 + states : -1] + 10 * prior[:, None]
         emit /= emit.sum(0)
         tables.unpersist()
+        history.append(float(full[-1].sum()))
+        if len(history) > 1 and history[-1] - history[-2] < TOLERANCE * abs(history[-1]):
+            break
+    return start, move, emit, history
+
+
+def scored(docs: DataFrame, train: DataFrame, states: int = STATES, iterations: int = ITERATIONS, own: int = OWN, suffixes: int = SUFFIXES, head: int = HEAD, stretch: int = STRETCH, burn: int = BURN) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, held_out, text, ...).
+
+    train(text, ...): what the model learns from.  Null texts are empty, an empty text has one token, its
+    end.  Without training rows every word is unknown and the score is that of the untrained tables.  Repeated rows are scored alike; nothing else is read.
+    """
+    spark = docs.sparkSession
+    counts = saved(word_counts(train, suffixes))
+    n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    top = counts.where((F.col("n") * head >= n_all) | (F.col("word") == int(END.view(np.int64)))).select("word", "n").toArrow()  # at most ``head`` + 1 rows
+    lex = Lexicon(top["word"].to_numpy().view(W.U), top["n"].to_numpy(), own, suffixes)
+    mine = np.sort(lex.words[lex.own >= 0]).view(np.int64).tolist()
+    own_words = spark.createDataFrame([(x,) for x in mine], "word long")  # at most ``own`` rows
+    mass, kinds = np.zeros(lex.classes), np.zeros(lex.classes)
+    for suffix, n, v in counts.join(F.broadcast(own_words), "word", "left_anti").where("suffix >= 0").groupBy("suffix").agg(F.sum("n"), F.count("*")).collect():
+        mass[suffix], kinds[suffix] = n, v
+    mass[lex.own[lex.own >= 0]] = lex.n[lex.own >= 0]
+    shared_lex = spark.sparkContext.broadcast(lex)
+    start, move, emit, _ = trained(train, shared_lex, (mass + 0.5) / (mass + 0.5).sum(), states, iterations, suffixes, stretch, burn)
     final = spark.sparkContext.broadcast((start, move, emit, np.log10(mass + kinds + 1)))
 
     def run_final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
