@@ -491,9 +491,40 @@ def test_classifier_held_out(spark):
     got = {r.doc_id: r for r in classifier.scored(docs, labels).collect()}
     right = sum(got[k].accepted == bool(q and not x) for k, q, x in marks[500:])
     assert len(got) == 902 and right >= 0.9 * 400
+    docs = docs.withColumn("removed", F.lit(1)).withColumn("accepted", F.lit(False)).withColumn("hold", F.lit(1))
     kept = classifier.accepted(docs, labels)
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
     assert classifier.scored(docs.limit(0), labels.limit(0)).count() == 0
+    none = classifier.scored(docs, labels.limit(0)).agg(F.sum("low_quality"), F.sum("toxic"), F.count("*")).first()
+    assert tuple(none) == (0.0, 0.0, 902)
+    worse = classifier.sample(labels.unionByName(spark.createDataFrame([(0, 1, 0), (0, 0, 1)], labels.schema)), 10**6).where("doc_id = 0").first()
+    assert (worse.low, worse.toxic) == (1, 1)
+
+
+def test_metadata_view_does_not_read_words():
+    """Texts of equal layout have equal metadata, whatever their words."""
+    import pyarrow as pa
+    from arrayq.llm import words as W
+
+    a, b = "one two\nthree four\n", "$$$ 222\nXXXXX yyyy\n"
+    batch = pa.RecordBatch.from_pydict({"n_chars": [float(len(a))] * 2})
+    rows = classifier._layout(batch, W.split(pa.array([a, b])))
+    assert (rows[0] == rows[1]).all() and rows.shape == (2, classifier.LAYOUT)
+
+
+def test_views_teach_each_other(spark):
+    """Labels of one source only: what the words say of the other source is learned from documents without labels."""
+    rnd = random.Random(16)
+    rows = []
+    for k in range(3000):
+        bad = k % 2
+        source = ("web" if rnd.random() < 0.95 else "spam") if not bad else ("spam" if rnd.random() < 0.95 else "web")
+        own = "x" if k < 300 else "y"  # later texts have other words, which only the source ties to their quality
+        rows.append((k, " ".join(f"{own}{'bad' if bad else 'good'}{rnd.randrange(12)}" for _ in range(30)) + (f" {'xbad' if bad else 'xgood'}1" if k % 5 == 0 else ""), "en", source, 100))
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    right = lambda **o: classifier.scored(docs, labels, **o).where("doc_id >= 300 and accepted = (doc_id % 2 = 0)").count() / 2700
+    assert right(rounds=3) >= 0.94
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
