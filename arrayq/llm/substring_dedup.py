@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import drop, saved
+from .store import drop, saved, unused
 
 WINDOW, ROUNDS = 13, 4
 
@@ -207,7 +207,7 @@ def _kept(texts: pa.Array, begins: pa.Array, window: int) -> tuple[W.Words, np.n
 
 
 def digest(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of every row, from removed_words()."""
+    """(doc_id, n_words, n_removed, kept_sha256) of every row of removed_words(); null texts have no words, no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "text"):
@@ -237,15 +237,16 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
             for i, (s, e) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
                 k = keep[s:e]
                 out.append(b.column("text")[i].as_py() if k.all() else b" ".join(x for x, y in zip(raw[w.start[s] : w.end[e - 1]].split(), k.tolist(), strict=True) if y).decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(out, pa.string())], ["__id", "__hash", "__text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(out, pa.string())], ["cut_id", "cut_hash", "cut_text"])
 
-    gone = removed_windows(docs, window, rounds).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "begins": "begins"})
+    gone = removed_windows(docs, window, rounds)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    cut = rows.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "text", "begins")
-    cut = cut.mapInArrow(run, "__id long, __hash long, __text string").dropDuplicates(["__id", "__hash"])
-    both = docs.join(cut, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
-    hit = F.col("__id").isNotNull()
-    cols = {"text": F.when(hit, F.col("__text")).otherwise(docs["text"])}
+    cut = rows.join(gone, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "begins")
+    cut = cut.mapInArrow(run, "cut_id long, cut_hash long, cut_text string").dropDuplicates(["cut_id", "cut_hash"])
+    names = [unused(docs, c) for c in cut.columns]
+    id_, hash_, text = map(F.col, names)
+    both = docs.join(cut.toDF(*names), (F.col("doc_id") == id_) & (F.xxhash64("text") == hash_), "left")
+    cols = {"text": F.when(id_.isNotNull(), text).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(hit, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return both.select(*(cols.get(c, docs[c]).alias(c) for c in docs.columns))
+        cols["n_chars"] = F.when(id_.isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return both.select(*(cols.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
