@@ -60,6 +60,9 @@ def test_substring_cut_texts_and_odd_rows(spark, corpus):
             assert hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][2] and r.n_chars == len(r.text)
         else:
             assert r.text == dict(corpus)[r.doc_id]
+    clash = frame(spark, corpus).withColumn("begins", F.lit(1)).withColumn("cut_text", F.lit("x")).withColumn("text_hash", F.lit(2))
+    out = substring_dedup.deduplicate(clash)
+    assert out.columns == clash.columns and all(hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][2] for r in out.collect() if want[r.doc_id][1])
     assert substring_dedup.digest(substring_dedup.removed_words(frame(spark, ODD))).count() == len(ODD)
     assert substring_dedup.digest(substring_dedup.removed_words(frame(spark, []))).count() == 0
 
@@ -71,6 +74,22 @@ def test_near_duplicates_match_brute(spark, corpus, shingle):
     assert got == brute.near(rows, shingle)
 
 
+def test_hot_key_compares_components(spark):
+    """Hundreds of texts that share most keys, some linked and some not, in small blocks."""
+    rnd = random.Random(31)
+    base = vocabulary_text(rnd, 120, 9999).split()
+    rows = []
+    for k in range(240):
+        w = list(base)
+        for _ in range(rnd.choice([1, 1, 2, 3, 6, 12])):
+            w[rnd.randrange(120)] = f"new{rnd.randrange(50)}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, rows), 5, block=16).collect()}
+    assert got == brute.near(rows, 5) and len({x[1] for x in got.values()}) > 5
+    two = frame(spark, [(1, "a b c d e f g h"), (1, "other words than those of the first one are here"), (2, "a b c d e f g h")])
+    assert len({str(sorted(near_dup.near_duplicates(two).collect())) for _ in range(2)}) == 1
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = sorted(near_dup.near_duplicates(frame(spark, ODD)).collect(), key=str)
     assert len(got) == len(ODD) and all(r.kept for r in got)

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from arrayq.llm.store import saved
+from pyspark.sql import functions as F
 
 from . import brute
 
@@ -35,3 +36,20 @@ def test_stages(spark):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows, and extra columns that clash with names inside."""
+    path = f"file://{tmp_path}/sf"
+    docs, labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    for t, df in (("labels", labels), ("benchmark", items)):
+        df.limit(0).write.parquet(f"{path}/{t}.parquet")
+    clash = docs.limit(60).unionByName(docs.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema)))
+    clash = clash.select("*", *(F.lit(1).alias(c) for c in ("removed", "kept", "component_id", "begins", "cut_id", "item_id", "row", "sequence", "accepted", "size")))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, saved(clash.limit(0)), path).count() == 0
+        out = stage(spark, saved(clash), path)
+        if name != "best_fit_packing":
+            assert out.columns == clash.columns and out.where("doc_id is null").count() == 1
+        if name in ("quality_classifier", "benchmark_decontamination"):
+            assert out.count() == 61
