@@ -3,12 +3,14 @@
 Steps follow each other, coarse to fine, as a finer step is predicted from the values that a decoder has after the
 coarser ones.  Within a step all cells are independent: a step is one Spark job that sends the known values to their
 neighbours by an equi-join, sums a small system for each block, solves these, and quantizes.  Each step's result is
-written to the shared folder, so lineage stays short and a lost executor costs one step.
+written to the shared folder, so lineage stays short and a lost executor costs one step.  Methods of prediction are objects in METHODS.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +20,41 @@ from ..functions import quantize as Q
 from ..operators import predict as P
 from ..operators.arrays import axes
 from ..runtime import saved
-from .stencils import State, Step, catalog, eligible, start
+from .stencils import State, Step, catalog, eligible, level, start
 
 #: Cells of a block on each axis, by number of dimensions; what the filter allows, in units of the error bound.
 BLOCKS, THRESHOLD = {1: 262144, 2: 512, 3: 64, 4: 16}, 9.0
-METHODS = ("fix", "ridge", "robust")
+
+
+class Method:
+    """How a step's cells are predicted: by the baseline, the mean of the neighbours.  Others override weights() and are put into METHODS."""
+
+    fitted = False  # whether weights() makes coefficients, which a decoder needs
+
+    def weights(self, rows: DataFrame, keys: Sequence[str], xs: Sequence[Column], base: Sequence[float], e, threshold: float) -> DataFrame:
+        """(keys, w): coefficients of xs for each group of rows(keys, x, ..), given the step's bound e."""
+        raise NotImplementedError
+
+
+class Ridge(Method):
+    """A ridge fit towards the baseline for each block."""
+
+    fitted = True
+
+    def weights(self, rows: DataFrame, keys: Sequence[str], xs: Sequence[Column], base: Sequence[float], e, threshold: float) -> DataFrame:
+        return P.robust_fit(rows, keys, xs, F.col("x"), base, None).select(*keys, "w")
+
+
+class Robust(Method):
+    """A ridge fit that is repeated without the cells which the first one misses by more than ``threshold`` bounds."""
+
+    fitted = True
+
+    def weights(self, rows: DataFrame, keys: Sequence[str], xs: Sequence[Column], base: Sequence[float], e, threshold: float) -> DataFrame:
+        return P.robust_fit(rows, keys, xs, F.col("x"), base, B.num(e) * threshold).select(*keys, "w")
+
+
+METHODS: dict[str, Method] = {"fix": Method(), "ridge": Ridge(), "robust": Robust()}
 
 
 def neighbours(targets: DataFrame, known: DataFrame, step: Step, shape: Sequence[int], value: str = "y") -> DataFrame:
@@ -49,72 +81,145 @@ def regressors(step: Step, shape: Sequence[int], sizes: Sequence[int]) -> tuple[
     return [*(F.col(f"n{j}") for j in range(m)), *where, F.lit(1.0)], [1.0 / m] * m + [0.0] * (len(shape) + 1)
 
 
-def with_prediction(rows: DataFrame, step: Step, shape: Sequence[int], sizes: Sequence[int], method: str, e, by: Sequence[str] = (), threshold: float = THRESHOLD, coefficient_bound: float | None = None) -> DataFrame:
-    """rows with pred, by the method: ``fix`` the mean of the neighbours, ``ridge`` a ridge fit for each block, ``robust`` one refitted without outliers."""
-    xs, base = regressors(step, shape, sizes)
-    if method == "fix":
-        return rows.withColumn("pred", P.applied(F.array(*map(F.lit, base)), xs))
+def method_named(method: str) -> Method:
     if method not in METHODS:
-        raise ValueError(f"unknown method {method}")
-    keys = [*by, *(f"b{k}" for k in range(len(shape)))]
-    rows = rows.withColumns({f"b{k}": F.expr(f"i{k} div {s}") for k, s in enumerate(sizes)})
-    w = P.robust_fit(rows, keys, xs, F.col("x"), base, B.num(e) * threshold if method == "robust" else None)
-    w = w.select(*keys, F.col("w").alias("__w"))
-    if coefficient_bound is not None:
-        w = w.withColumn("__w", F.transform(Q.coefficients(F.col("__w"), F.array(*map(F.lit, base)), coefficient_bound), lambda c: c["value"]))
-    out = rows.join(w, keys)
-    return out.withColumn("pred", P.applied(F.col("__w"), xs)).drop("__w", *keys[len(by) :])
+        raise ValueError(f"unknown method {method}: there are {', '.join(METHODS)}")
+    return METHODS[method]
 
 
-def compressed(df: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, method: str = "fix", sizes: Sequence[int] | None = None, ratio: float = B.LEVEL_RATIO, threshold: float = THRESHOLD) -> DataFrame:
-    """(i0.., x, level, code, y) for each cell of a dense array df(i0.., x) with values in [-1, 1].
+def block_keys(ndim: int) -> list[str]:
+    return [f"b{k}" for k in range(ndim)]
+
+
+def in_blocks(rows: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    return rows.withColumns({b: F.expr(f"i{k} div {s}") for k, (b, s) in enumerate(zip(block_keys(len(sizes)), sizes, strict=True))})
+
+
+def with_weights(rows: DataFrame, weights: DataFrame | None, xs: Sequence[Column], base: Sequence[float], sizes: Sequence[int]) -> DataFrame:
+    """rows with pred: the baseline's, or by the coefficients w of their block."""
+    if weights is None:
+        return rows.withColumn("pred", P.applied(F.array(*map(F.lit, base)), xs))
+    keys = block_keys(len(sizes))
+    out = in_blocks(rows, sizes).join(weights.select(*keys, F.col("w").alias("__w")), keys)
+    return out.withColumn("pred", P.applied(F.col("__w"), xs)).drop("__w", *keys)
 
-    y is what a decoder gets: code is null for stored cells, whose level is the plan's length, and |x - y| <= e everywhere.  e is
-    the finest level's bound; level l has e * ratio ** l.
+
+def from_codes(codes: Column, base: Sequence[float], e: float) -> Column:
+    """Coefficients as a decoder gets them."""
+    return F.zip_with(codes, F.array(*map(F.lit, base)), lambda c, b: b + 2 * B.num(e) * c)
+
+
+@dataclass
+class Coded:
+    """cells: (i0.., x, level, code, y); coefficients: (level, b0.., codes), of the methods that fit some."""
+
+    cells: DataFrame
+    coefficients: DataFrame | None
+
+
+def coded(df: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, method: str = "fix", sizes: Sequence[int] | None = None, ratio: float = B.LEVEL_RATIO, threshold: float = THRESHOLD) -> Coded:
+    """The codes of a dense array df(i0.., x) with values in [-1, 1]: y is what a decoder gets.
+
+    code is null for stored cells, whose level is the plan's length, and |x - y| <= e everywhere.  e is
+    the finest level's bound; level l has e * ratio ** l.  Predictions are made with the coefficients as a decoder gets them.
     """
-    ndim = len(shape)
-    sizes = list(sizes or [BLOCKS[ndim]] * ndim)
-    cells = saved(df.select(*axes(ndim), F.col("x").cast("double").alias("x"), _level(plan).alias("level")))
-    done = cells.where(F.col("level") == len(plan)).select("*", F.lit(None).cast("long").alias("code"), F.col("x").alias("y"))
+    ndim, how = len(shape), method_named(method)
+    sizes, keys = list(sizes or [BLOCKS[ndim]] * ndim), block_keys(ndim)
+    cells = saved(df.select(*axes(ndim), F.col("x").cast("double").alias("x"), level(plan).alias("level")))
+    done, fitted = cells.where(F.col("level") == len(plan)).select("*", F.lit(None).cast("long").alias("code"), F.col("x").alias("y")), []
     for k in range(len(plan) - 1, -1, -1):
-        bound = e * ratio**k
-        rows = neighbours(cells.where(F.col("level") == k), done, plan[k], shape)
-        rows = with_prediction(rows, plan[k], shape, sizes, method, bound, (), threshold, 2 * e * B.COEFFICIENT_RATIO)
+        bound, (xs, base) = e * ratio**k, regressors(plan[k], shape, sizes)
+        rows, w = neighbours(cells.where(F.col("level") == k), done, plan[k], shape), None
+        if how.fitted:
+            rows = saved(rows)  # they are read for each fit and for the prediction
+            w = how.weights(in_blocks(rows, sizes), keys, xs, base, bound, threshold)
+            pairs = Q.coefficients(F.col("w"), F.array(*map(F.lit, base)), coefficient_bound(e))
+            w = saved(w.select(F.lit(k).alias("level"), *keys, F.transform(pairs, lambda c: c["code"].cast("long")).alias("codes")))
+            fitted.append(w)
+            w = w.select(*keys, from_codes(F.col("codes"), base, coefficient_bound(e)).alias("w"))
+        rows = with_weights(rows, w, xs, base, sizes)
         code = Q.toward_zero(F.col("x") - F.col("pred"), bound)
-        rows = rows.select(*axes(ndim), "x", "level", code.alias("code"), Q.dequantize(F.col("pred"), code, bound).alias("y"))
-        done = done.unionByName(saved(rows))
-    return done
+        done = done.unionByName(saved(rows.select(*axes(ndim), "x", "level", code.alias("code"), Q.dequantize(F.col("pred"), code, bound).alias("y"))))
+    return Coded(done, reduce(DataFrame.unionByName, fitted) if fitted else None)
 
 
-def _level(plan: Sequence[Step]) -> Column:
-    from .stencils import level
+def coefficient_bound(e: float) -> float:
+    return 2 * e * B.COEFFICIENT_RATIO
 
-    return level(plan)
+
+def compressed(df: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, method: str = "fix", sizes: Sequence[int] | None = None, ratio: float = B.LEVEL_RATIO, threshold: float = THRESHOLD) -> DataFrame:
+    """(i0.., x, level, code, y) for each cell, as in coded()."""
+    return coded(df, shape, plan, e, method, sizes, ratio, threshold).cells
 
 
-def decompressed(codes: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, ratio: float = B.LEVEL_RATIO) -> DataFrame:
-    """(i0.., y) of codes(i0.., level, code, y of the stored cells), for the method ``fix``, whose coefficients need no storing."""
+def decompressed(codes: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, ratio: float = B.LEVEL_RATIO, coefficients: DataFrame | None = None, sizes: Sequence[int] | None = None) -> DataFrame:
+    """(i0.., y) of codes(i0.., level, code, y of the stored cells) and the coefficients that coded() made."""
     ndim = len(shape)
+    sizes, keys = list(sizes or [BLOCKS[ndim]] * ndim), block_keys(ndim)
     done = codes.where(F.col("level") == len(plan)).select(*axes(ndim), "y")
     for k in range(len(plan) - 1, -1, -1):
         rows = neighbours(codes.where(F.col("level") == k).select(*axes(ndim), "code"), done, plan[k], shape)
-        xs, base = regressors(plan[k], shape, shape)
-        rows = rows.withColumn("pred", P.applied(F.array(*map(F.lit, base)), xs))
+        (xs, base), w = regressors(plan[k], shape, sizes), None
+        if coefficients is not None:
+            w = coefficients.where(F.col("level") == k).select(*keys, from_codes(F.col("codes"), base, coefficient_bound(e)).alias("w"))
+        rows = with_weights(rows, w, xs, base, sizes)
         done = done.unionByName(saved(rows.select(*axes(ndim), Q.dequantize(F.col("pred"), F.col("code"), e * ratio**k).alias("y"))))
     return done
 
 
+def threshold_sweep(df: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, thresholds: Sequence[float], sizes: Sequence[int] | None = None) -> DataFrame:
+    """(threshold, bits, max_abs) of the robust method at each threshold, least bits first: bits of all codes by their entropy."""
+    out = []
+    for t in thresholds:  # each is a compression of its own
+        cells = compressed(df, shape, plan, e, "robust", sizes, threshold=t)
+        n = cells.where("code is not null").groupBy("code").agg(F.count("*").alias("n"), F.max(F.abs(F.col("x") - F.col("y"))).alias("d"))
+        of = n.agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.max("d").alias("max_abs"))
+        out.append(of.select(F.lit(float(t)).alias("threshold"), (F.col("total") * F.log2("total") - F.col("s")).alias("bits"), "max_abs"))
+    return reduce(DataFrame.unionByName, out).orderBy("bits", "threshold")
+
+
+def candidates(cells: DataFrame, state: State, shape: Sequence[int], ids: Sequence[int]) -> tuple[DataFrame, int]:
+    """(stencil, i0.., x, n0, n1, ...) of the targets of some stencils at a state, all by one join, and how many neighbours the largest has.
+
+    A stencil with fewer neighbours has zeros in place of the others; so has a neighbour that would have to be moved onto a cell which is not known.
+    """
+    ndim, stencils = len(shape), [catalog(len(shape))[i] for i in ids]
+    most = max(len(s.offsets()) for s in stencils)
+    last = [(d - 1) // t * t for d, t in zip(shape, state.stride, strict=True)]
+    place = lambda k, o: F.greatest(F.lit(0), F.least(F.lit(last[k]), F.col(f"i{k}") + o[k] * state.stride[k])).cast("long")
+    all_ = None
+    for i, s in zip(ids, stencils, strict=True):
+        wanted = F.array(*(F.struct(*(place(k, o).alias(f"j{k}") for k in range(ndim)), F.lit(m).alias("m")) for m, o in enumerate(s.offsets())))
+        one = F.when(Step(state.stride, s).is_target(), F.struct(F.lit(i).alias("stencil"), F.lit(sum(1 << v for v in s.known)).alias("known"), wanted.alias("wanted")))
+        all_ = [one] if all_ is None else [*all_, one]
+    each = cells.select(*axes(ndim), "x", F.explode(F.filter(F.array(*all_), lambda c: c.isNotNull())).alias("c")).select(*axes(ndim), "x", "c.stencil", "c.known", F.explode("c.wanted").alias("w")).select("stencil", "known", *axes(ndim), "x", "w.*")
+    parity = Step(state.stride, stencils[0]).parity()
+    there = cells.where(Step(state.stride, stencils[0]).on_grid()).select(*(F.col(f"i{k}").alias(f"j{k}") for k in range(ndim)), F.col("x").alias("v"), parity.alias("parity"))
+    met = each.join(there, [f"j{k}" for k in range(ndim)], "left").withColumn("v", F.when(F.col("known").bitwiseAND(F.expr("shiftleft(1, parity)")) > 0, F.col("v")))
+    n = [F.coalesce(F.max(F.when(F.col("m") == m, F.col("v"))), F.lit(0.0)).alias(f"n{m}") for m in range(most)]
+    return met.groupBy("stencil", *axes(ndim), "x").agg(*n), most
+
+
 def step_losses(cells: DataFrame, state: State, shape: Sequence[int], sizes: Sequence[int], method: str, e: float) -> DataFrame:
-    """(stencil, loss, n): mean squared error of each eligible stencil at this state, all in one job."""
-    out = None
-    for i in eligible(state, shape):
-        step = Step(state.stride, catalog(len(shape))[i])
-        rows = neighbours(cells.where(step.is_target()), cells.where(step.is_known()), step, shape, "x")
-        rows = with_prediction(rows, step, shape, sizes, method, e)
-        d = F.col("x") - F.col("pred")
-        one = rows.agg(F.lit(i).alias("stencil"), F.avg(d * d).alias("loss"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(stencil, loss, n): mean squared error of each eligible stencil at this state, all in one job.
+
+    The fit is of what the baseline leaves over, towards 0, which is the fit towards the baseline.
+    """
+    ndim, ids, how = len(shape), eligible(state, shape), method_named(method)
+    keys = ["stencil", *block_keys(ndim)]
+    rows, most = candidates(cells, state, shape, ids)
+    size = F.element_at(F.create_map(*(F.lit(x) for i in ids for x in (i, len(catalog(ndim)[i].offsets())))), F.col("stencil"))
+    total = sum((F.col(f"n{m}") for m in range(most)), F.lit(0.0))
+    rows = in_blocks(rows, sizes).select("*", (total / size).alias("mean"))
+    if how.fitted:
+        where = [(F.col(f"i{k}") % s) * (2.0 / max(1, min(s, d) - 1)) - 1.0 for k, (s, d) in enumerate(zip(sizes, shape, strict=True))]
+        xs = [*(F.col(f"n{m}") for m in range(most)), *where, F.lit(1.0)]
+        rest = saved(rows.withColumnRenamed("x", "whole").withColumn("x", F.col("whole") - F.col("mean")))
+        w = how.weights(rest, keys, xs, [0.0] * len(xs), e, THRESHOLD).select(*keys, F.col("w").alias("__w"))
+        more = sum((F.element_at("__w", k + 1) * x for k, x in enumerate(xs)), F.lit(0.0))
+        rows = rest.join(w, keys).select("stencil", F.col("whole").alias("x"), (F.col("mean") + more).alias("mean"))
+    d = F.col("x") - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("mean")))
+    return rows.groupBy("stencil").agg(F.avg(d * d).alias("loss"), F.count("*").alias("n"))
 
 
 def searched(df: DataFrame, shape: Sequence[int], steps: int, e: float, method: str = "fix", sizes: Sequence[int] | None = None) -> tuple[list[Step], list[tuple[int, int, float]]]:

@@ -18,7 +18,7 @@ from arrayq.operators import imaging as G
 from arrayq.operators import metrics as M
 from arrayq.operators import predict as P
 from arrayq.operators import sweep as S
-from arrayq.plans import codec, stencils
+from arrayq.plans import codec, stencils, stream
 from arrayq.runtime import reachable
 from arrayq.sources import raw
 
@@ -141,19 +141,85 @@ def test_quincunx_chain():
     assert sorted(last.offsets()) == [(-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
-@pytest.mark.parametrize("method", codec.METHODS)
-@pytest.mark.parametrize("shape", [(33,), (9, 7), (5, 4, 3)])
-def test_bound_holds(spark, method, shape):
-    rng = np.random.default_rng(3)
-    a = np.cumsum(rng.standard_normal(shape), 0)
-    a = 2 * (a - a.min()) / (a.max() - a.min()) - 1
-    plan = stencils.axis_plan(shape, 3)
-    out = codec.compressed(grid(spark, a), shape, plan, 0.02, method, [8] * len(shape))
-    y = back(out, shape)
-    assert np.abs(y - a).max() <= 0.02 * (1 + 1e-6)
-    if method == "fix":
-        again = back(codec.decompressed(out.withColumn("y", F.when(F.col("code").isNull(), F.col("y"))), shape, plan, 0.02), shape)
-        assert np.allclose(again, y, atol=1e-12)
+def smooth(shape, seed=3):
+    a = np.cumsum(np.random.default_rng(seed).standard_normal(shape), 0)
+    return 2 * (a - a.min()) / (a.max() - a.min()) - 1
+
+
+@pytest.mark.parametrize("method", list(codec.METHODS))
+@pytest.mark.parametrize("shape", [(33,), (9, 7), (5, 4, 3), (3, 3, 4, 2)])
+def test_stream_round_trip(spark, method, shape, tmp_path):
+    """Within the bound, and what is read back from the bytes is what the encoder had."""
+    reachable(spark)
+    a, plan = smooth(shape), stencils.axis_plan(shape, 3)
+    made = codec.coded(grid(spark, a), shape, plan, 0.02, method, [8] * len(shape))
+    y = back(made.cells, shape)
+    assert np.abs(y - a).max() <= 0.02 * (1 + 1e-6) and (made.coefficients is not None) == (method != "fix")
+    header, parts = stream.encoded(grid(spark, a), shape, plan, 0.02, method, [8] * len(shape), stretch=16)
+    stream.write(header, parts, f"file://{tmp_path}/s")
+    header, parts = stream.read(spark, f"file://{tmp_path}/s")
+    assert np.array_equal(back(stream.decoded(header, parts), shape), y)
+    of = {r.kind: (r.n, r.bytes) for r in stream.size(header, parts).collect()}
+    assert of["code"][0] + of["stored"][0] == math.prod(shape) and set(of) == {"header", "table", "code", "stored", *(["coefficients"] if method != "fix" else [])}
+
+
+def test_stream_of_other_plans(spark):
+    """Diagonal stencils, no steps at all, one cell, one value, a level plan longer than needed for pivots."""
+    reachable(spark)
+    quincunx = next(x for x in stencils.catalog(2) if x.known == (0, 3))
+    last = next(x for x in stencils.catalog(2) if x.known == (0,) and x.targets == (3,))
+    diagonal = [stencils.Step((1, 1), quincunx), stencils.Step((1, 1), last)]
+    for a, plan in ((smooth((9, 10)), diagonal), (smooth((4, 5)), []), (np.zeros((1, 1)), []), (np.full((6, 3), 0.25), stencils.axis_plan((6, 3)))):
+        header, parts = stream.encoded(grid(spark, a), a.shape, plan, 0.05, "fix", [4, 4], stretch=7)
+        assert header.plan() == list(plan)
+        assert np.abs(back(stream.decoded(header, parts), a.shape) - a).max() <= 0.05 * (1 + 1e-6)
+    header, parts = stream.encoded(grid(spark, np.zeros((1, 1))).limit(0), (0, 3), [], 0.1)
+    assert stream.decoded(header, parts).count() == 0
+
+
+def test_own_method(spark):
+    class First(codec.Method):
+        """The first neighbour's value."""
+
+        fitted = True
+
+        def weights(self, rows, keys, xs, base, e, threshold):
+            return rows.select(*keys).distinct().withColumn("w", F.array(*(F.lit(float(k == 0)) for k in range(len(xs)))))
+
+    codec.METHODS["first"] = First()
+    try:
+        a, plan = smooth((12, 5)), stencils.axis_plan((12, 5), 2)
+        header, parts = stream.encoded(grid(spark, a), a.shape, plan, 0.02, "first", [8, 8])
+        assert np.abs(back(stream.decoded(header, parts), a.shape) - a).max() <= 0.02 * (1 + 1e-6)
+    finally:
+        del codec.METHODS["first"]
+    with pytest.raises(ValueError, match="unknown method"):
+        codec.compressed(grid(spark, a), a.shape, plan, 0.02, "first")
+
+
+def test_threshold_sweep(spark):
+    a = smooth((16, 12))
+    a[::5] += 0.0
+    rows = codec.threshold_sweep(grid(spark, a), a.shape, stencils.axis_plan(a.shape, 2), 0.02, [1.0, 9.0, 1e6], [8, 8]).collect()
+    assert sorted(r.threshold for r in rows) == [1.0, 9.0, 1e6] and [r.bits for r in rows] == sorted(r.bits for r in rows)
+    assert all(r.max_abs <= 0.02 * (1 + 1e-6) for r in rows)
+
+
+@pytest.mark.parametrize("method", ["fix", "ridge"])
+def test_losses_of_all_stencils_at_once(spark, method):
+    """Each candidate's loss is that of the codec's own prediction with it."""
+    a = smooth((8, 9))
+    cells = grid(spark, a)
+    state = stencils.start(2)
+    got = {r.stencil: (r.loss, r.n) for r in codec.step_losses(cells, state, a.shape, [4, 16], method, 0.02).collect()}
+    assert set(got) == set(stencils.eligible(state, a.shape)) and len(got) > 2
+    for i, (loss, n) in got.items():
+        step = stencils.Step(state.stride, stencils.catalog(2)[i])
+        rows = codec.neighbours(cells.where(step.is_target()), cells.where(step.is_known()), step, a.shape, "x")
+        xs, base = codec.regressors(step, a.shape, [4, 16])
+        w = None if method == "fix" else P.robust_fit(codec.in_blocks(rows, [4, 16]), ["b0", "b1"], xs, F.col("x"), base)
+        r = codec.with_weights(rows, w, xs, base, [4, 16]).agg(F.avg((F.col("x") - F.col("pred")) ** 2).alias("loss"), F.count("*").alias("n")).first()
+        assert n == r.n and np.isclose(loss, r.loss, rtol=1e-5)
 
 
 def test_ridge_matches_least_squares(spark):
@@ -188,7 +254,7 @@ def test_huffman_round_trip(spark):
     df = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "i long, code long")
     reachable(spark)
     packed, lengths = E.huffman_packed(df, 1000)
-    assert sum(2.0 ** -n for n in lengths.values()) <= 1 + 1e-12
+    assert sum(2.0 ** -n for n in lengths.values()) <= 1 + 1e-12 and E.table_from(E.table_bytes(lengths)) == lengths
     got = [r.code for r in E.huffman_unpacked(packed, lengths, 1000).orderBy("i").collect()]
     assert got == codes.tolist()
     bits = packed.agg(F.sum("bits")).first()[0]
