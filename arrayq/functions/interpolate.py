@@ -38,13 +38,18 @@ def mean(*values: Column) -> Column:
     return weighted(list(values), [1] * len(values)) / float(len(values))
 
 
+#: Fixed value: bend below which Akima's weights say nothing.
+FLAT = 1e-9
+
+
 def akima(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Middle of b and c, moved by the second differences on both sides; the plain mean where both vanish."""
+    """Akima's cubic at the middle of b and c, from four neighbours: each end's slope weighs its two secants by how little the other side bends."""
     s, t = 2 * b - a - c, 2 * c - b - d
     bend = F.abs(s) + F.abs(t)
-    return F.when(bend > 1e-9, (b + c) / 2 + (s * F.abs(t) + t * F.abs(s)) / 8 / bend).otherwise((b + c) / 2)
+    return (b + c) / 2 + F.when(bend > FLAT, (s * F.abs(t) + t * F.abs(s)) / 8 / bend).otherwise(F.lit(0.0))
 
 
 def pchip(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Equal to the linear mean: the correction's factor is an integer quotient, which is zero."""
-    return (b + c) / 2 + 0 * (a + d)
+    """The monotone cubic at the middle of b and c: an end's slope is the harmonic mean of its two secants, 0 where these differ in sign."""
+    half = lambda s, t: F.when(s * t > 0, s * t / (s + t)).otherwise(F.lit(0.0))
+    return (b + c) / 2 + (half(b - a, c - b) - half(c - b, d - c)) / 4

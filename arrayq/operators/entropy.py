@@ -147,6 +147,35 @@ def bit_width(df: DataFrame, code: str = "code") -> DataFrame:
     return df.agg(F.coalesce(F.max(F.when(F.col(code) > 0, F.length(F.bin(code)))), F.lit(0)).alias("bits"))
 
 
+def bits_packed(codes: DataFrame, width: int, stretch: int = 1 << 18, code: str = "code") -> DataFrame:
+    """(part, n, content): codes(i, code) of 0 to 2 ** width - 1 by stretches of consecutive i, ``width`` bits each, highest first; a larger one raises an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content = []
+            for x in b.column("codes"):
+                x = x.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(x) and (x.min() < 0 or x.max() >> width):
+                    raise ValueError(f"a code outside 0 to {(1 << width) - 1}")
+                content.append(np.packbits((x[:, None] >> np.arange(width - 1, -1, -1) & 1).astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("n"), pa.array(content, pa.binary())], ["part", "n", "content"])
+
+    grouped = codes.groupBy(F.expr(f"i div {stretch}").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", code))), lambda s: s[code]).alias("codes"))
+    return grouped.withColumn("n", F.size("codes").cast("long")).mapInArrow(run, "part long, n long, content binary")
+
+
+def bits_unpacked(rows: DataFrame, width: int, stretch: int = 1 << 18) -> DataFrame:
+    """(i, code) of bits_packed(), for codes that fill their stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, n, content in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("content").to_pylist(), strict=True):
+                bits = np.unpackbits(np.frombuffer(content, np.uint8), count=n * width).reshape(n, width).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + part * stretch), pa.array(bits @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64)))], ["i", "code"])
+
+    return rows.mapInArrow(run, "i long, code long")
+
+
 def truncated(df: DataFrame, keep: int, x: str = "x") -> DataFrame:
     """y: the value with only the ``keep`` (1 to 4) most significant bytes of its 32-bit form."""
     mask = np.uint32(0xFFFFFFFF << 8 * (4 - keep) & 0xFFFFFFFF)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quantize as Q
+from ..functions.bounds import num
 from .arrays import named, shifted
 
 
@@ -136,3 +137,8 @@ def effective_rank(df: DataFrame, vector: str, share: float = 0.95, scaled: bool
         total += float(explained[rank])
         rank += 1
     return df.sparkSession.createDataFrame([(rank, len(explained))], "rank int, dimensions int")
+
+
+def bound_share(loss: Column, e) -> Column:
+    """Root of the mean squared loss in units of a quantization bin, 2 * e."""
+    return F.sqrt(loss) / (2 * num(e))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounds import num
+from ..functions.quantize import toward_zero
 from .arrays import axes, gathered, named, shifted
 
 RIDGE = 1e-4
@@ -186,3 +187,77 @@ def quadratic(df: DataFrame, sizes: Sequence[int], ridge: float = 1e-9) -> DataF
     xs = [F.lit(1.0), *t, *(t[j] * t[k] for j in range(ndim) for k in range(j, ndim))]
     keys = [f"b{k}" for k in range(ndim)]
     return solve(gram(df.withColumns({f"b{k}": F.expr(f"i{k} div {s}") for k, s in enumerate(sizes)}), keys, xs, F.col("x")), [0.0] * len(xs), ridge)
+
+
+#: What is added to the Lorenzo error, in error bounds, as its neighbours will be decoded ones; by layers and dimensions.
+LORENZO_NOISE = {1: {1: 0.5, 2: 0.81, 3: 1.22}, 2: {1: 1.08, 2: 2.76, 3: 6.8}}
+
+
+def on_diagonal(sizes: Sequence[int]) -> Column:
+    """Whether a cell lies on one of its block's 2 ** (ndim - 1) space diagonals; with one axis, at one of its ends."""
+    p = [F.col(f"i{k}") % s for k, s in enumerate(sizes)]
+    if len(sizes) == 1:
+        return p[0].isin(0, sizes[0] - 1)
+    ok = F.lit(True)
+    for x, s in zip(p[1:], sizes[1:], strict=True):
+        ok = ok & ((x == p[0]) | (x == s - 1 - p[0]))
+    return ok
+
+
+def block_errors(df: DataFrame, sizes: Sequence[int], e: float = 0.0, mean: Column | None = None) -> DataFrame:
+    """(b0.., predictor, err): summed absolute error on each full block's diagonals of Lorenzo prediction in one and two layers and of the block's plane.
+
+    Lorenzo errors have LORENZO_NOISE bounds e added.  mean: a value that may also be taken, where it is nearer than Lorenzo prediction.
+    Only cells on the diagonals ask for their neighbours; those outside the array are 0.
+    """
+    n = len(sizes)
+    one, two = lorenzo_offsets(n, 1), lorenzo_offsets(n, 2)
+    wanted = F.array(*(F.struct(*((F.col(f"i{k}") + o[k]).alias(f"j{k}") for k in range(n)), F.lit(float(one.get(o, 0))).alias("w1"), F.lit(float(w)).alias("w2")) for o, w in two.items()))
+    sent = df.where(on_diagonal(sizes)).select(*axes(n), "x", F.explode(wanted).alias("t")).select(*axes(n), "x", "t.*")
+    met = sent.join(df.select(*(F.col(f"i{k}").alias(f"j{k}") for k in range(n)), F.col("x").alias("v")), [f"j{k}" for k in range(n)], "left")
+    v = F.coalesce("v", F.lit(0.0))
+    rows = met.groupBy(*axes(n), "x").agg(F.sum(F.col("w1") * v).alias("p1"), F.sum(F.col("w2") * v).alias("p2"))
+    keys = [f"b{k}" for k in range(n)]
+    full = 1
+    for s in sizes:
+        full *= s
+    planes = block_regression(df, sizes).where(F.col("n") == full).drop("n")
+    rows = rows.withColumns({b: F.expr(f"i{k} div {s}") for k, (b, s) in enumerate(zip(keys, sizes, strict=True))}).join(planes, keys)
+    plane = F.col("intercept")
+    for k, s in enumerate(sizes):
+        plane = plane + F.col(f"c{k}") * (F.col(f"i{k}") % s)
+    miss = {f"lorenzo{layers}": F.abs(F.col("x") - F.col(f"p{layers}")) + e * LORENZO_NOISE[layers].get(n, 0.0) for layers in (1, 2)}
+    if mean is not None:
+        miss = {k: F.least(F.abs(F.col("x") - mean), m) for k, m in miss.items()}
+    miss["regression"] = F.abs(F.col("x") - plane)
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("predictor"), m.alias("err")) for k, m in miss.items())))
+    return rows.select(*keys, pairs.alias("e")).select(*keys, "e.*").groupBy(*keys, "predictor").agg(F.sum("err").alias("err"))
+
+
+def selected(df: DataFrame, sizes: Sequence[int], e: float = 0.0, mean: Column | None = None) -> DataFrame:
+    """(b0.., predictor, err): the predictor of least error of each full block, as in block_errors()."""
+    return best_per_group(block_errors(df, sizes, e, mean), [f"b{k}" for k in range(len(sizes))])
+
+
+def frame_codes(df: DataFrame, time: str, particle: str, e: float, batch: int) -> DataFrame:
+    """(batch, time, particle, method, code) of frames (time, particle, x) by every method: from the frame before, from the batch's first frame, from 0."""
+    first = df.where(F.col(time) % batch == 0).select(F.expr(f"{time} div {batch}").alias("batch"), particle, F.col("x").alias("first"))
+    rows = previous_frame(df, [particle], time).withColumn("batch", F.expr(f"{time} div {batch}")).join(first, ["batch", particle], "left")
+    opens = F.col(time) % batch == 0
+    preds = {"previous": F.col("pred"), "first": F.when(opens, F.lit(0.0)).otherwise(F.coalesce("first", F.lit(0.0))), "none": F.lit(0.0)}
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("method"), toward_zero(F.col("x") - p, e).alias("code")) for k, p in preds.items())))
+    return rows.select("batch", time, particle, pairs.alias("m")).select("batch", time, particle, "m.*")
+
+
+def code_bits(codes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n, bits): what an order-0 coder needs for all codes of a group."""
+    h = codes.groupBy(*by, "code").agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return h.select(*by, F.col("t").alias("n"), (F.col("t") * F.log2("t") - F.col("s")).alias("bits"))
+
+
+def frame_methods(df: DataFrame, time: str, particle: str, e: float, batch: int = 10, every: int = 50, trial: int = 10) -> DataFrame:
+    """(turn, method, n, bits): the method that needs least bits for the first ``trial`` frames of every ``every`` batches, and what all frames of these take by it."""
+    codes = frame_codes(df, time, particle, e, batch).withColumn("turn", F.expr(f"batch div {every}"))
+    tried = code_bits(codes.where(F.col(time) - F.col("turn") * (batch * every) < trial), ["turn", "method"])
+    chosen = tried.groupBy("turn").agg(F.min(F.struct("bits", "method")).alias("m")).select("turn", F.col("m.method").alias("method"))
+    return code_bits(codes.join(chosen, ["turn", "method"]), ["turn", "method"])

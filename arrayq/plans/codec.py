@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bounds as B
+from ..functions import interpolate as I
 from ..functions import quantize as Q
 from ..operators import predict as P
 from ..operators.arrays import axes
@@ -31,6 +32,14 @@ class Method:
 
     fitted = False  # whether weights() makes coefficients, which a decoder needs
 
+    def offsets(self, step: Step) -> list[tuple[int, ...]] | None:
+        """Neighbours of its own, for a method that isn't a sum over the stencil's."""
+        return None
+
+    def formula(self) -> Column:
+        """The prediction from n0, n1, ... at offsets(), null where there is no cell."""
+        raise NotImplementedError
+
     def weights(self, rows: DataFrame, keys: Sequence[str], xs: Sequence[Column], base: Sequence[float], e, threshold: float) -> DataFrame:
         """(keys, w): coefficients of xs for each group of rows(keys, x, ..), given the step's bound e."""
         raise NotImplementedError
@@ -54,24 +63,42 @@ class Robust(Method):
         return P.robust_fit(rows, keys, xs, F.col("x"), base, B.num(e) * threshold).select(*keys, "w")
 
 
-METHODS: dict[str, Method] = {"fix": Method(), "ridge": Ridge(), "robust": Robust()}
+class Cubic(Method):
+    """The cubic through four known neighbours on the halved axis; near the edges the parabola, the line or the value that is left."""
+
+    def offsets(self, step: Step) -> list[tuple[int, ...]]:
+        ndim = step.stencil.ndim
+        halved = [k for k in range(ndim) if not any(v >> k & 1 for v in step.stencil.known)]
+        if len(halved) != 1 or len(step.stencil.known) != len(step.stencil.targets):
+            raise ValueError("cubic interpolation needs a plan that halves one axis at a time")
+        return [tuple(o if k == halved[0] else 0 for k in range(ndim)) for o in (-3, -1, 1, 3)]
+
+    def formula(self) -> Column:
+        a, b, c, d = (F.col(f"n{m}") for m in range(4))
+        return F.coalesce(I.formula("cubic", a, b, c, d), I.formula("quad_1", b, c, d), I.formula("quad_2", a, b, c), I.formula("linear", b, c), I.formula("linear1", a, b), b, c, F.lit(0.0))
+
 
+METHODS: dict[str, Method] = {"fix": Method(), "ridge": Ridge(), "robust": Robust(), "cubic": Cubic()}
 
-def neighbours(targets: DataFrame, known: DataFrame, step: Step, shape: Sequence[int], value: str = "y") -> DataFrame:
+
+def neighbours(targets: DataFrame, known: DataFrame, step: Step, shape: Sequence[int], value: str = "y", offsets: Sequence[Sequence[int]] | None = None) -> DataFrame:
     """targets with n0, n1, ...: the values of the stencil's neighbours in known(i0.., value).
 
-    A place outside the array is moved to its edge; a cell that is not known yet counts as 0.
+    A place outside the array is moved to its edge; a cell that is not known yet counts as 0.  With ``offsets`` of one's own,
+    in strides, both are null.
     """
-    ndim, offsets = len(shape), step.stencil.offsets()
+    ndim, own = len(shape), offsets is not None
+    offsets = offsets if own else step.stencil.offsets()
     keep = targets.columns
     last = [(d - 1) // s * s for d, s in zip(shape, step.stride, strict=True)]
-    place = lambda k, o: F.greatest(F.lit(0), F.least(F.lit(last[k]), F.col(f"i{k}") + o[k] * step.stride[k])).cast("long")
+    inside = lambda k, c: c if own else F.greatest(F.lit(0), F.least(F.lit(last[k]), c))
+    place = lambda k, o: inside(k, F.col(f"i{k}") + o[k] * step.stride[k]).cast("long")
     wanted = F.array(*(F.struct(*(place(k, o).alias(f"j{k}") for k in range(ndim)), F.lit(m).alias("m")) for m, o in enumerate(offsets)))
     sent = targets.withColumn("__w", F.explode(wanted)).select(*keep, "__w.*")
     there = known.select(*(F.col(f"i{k}").alias(f"j{k}") for k in range(ndim)), F.col(value).alias("__v"))
     met = sent.join(there, [f"j{k}" for k in range(ndim)], "left")
-    n = [F.coalesce(F.max(F.when(F.col("m") == m, F.col("__v"))), F.lit(0.0)).alias(f"n{m}") for m in range(len(offsets))]
-    return met.groupBy(*keep).agg(*n)
+    n = [F.max(F.when(F.col("m") == m, F.col("__v"))) for m in range(len(offsets))]
+    return met.groupBy(*keep).agg(*((x if own else F.coalesce(x, F.lit(0.0))).alias(f"n{m}") for m, x in enumerate(n)))
 
 
 def regressors(step: Step, shape: Sequence[int], sizes: Sequence[int]) -> tuple[list[Column], list[float], DataFrame | None]:
@@ -104,6 +131,13 @@ def with_weights(rows: DataFrame, weights: DataFrame | None, xs: Sequence[Column
     return out.withColumn("pred", P.applied(F.col("__w"), xs)).drop("__w", *keys)
 
 
+def predicted(rows: DataFrame, how: Method, weights: DataFrame | None, step: Step, shape: Sequence[int], sizes: Sequence[int]) -> DataFrame:
+    """rows with pred, from their neighbours and, of a method that fits, the coefficients w."""
+    if how.offsets(step) is not None:
+        return rows.withColumn("pred", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), how.formula())))
+    return with_weights(rows, weights, *regressors(step, shape, sizes), sizes)
+
+
 def from_codes(codes: Column, base: Sequence[float], e: float) -> Column:
     """Coefficients as a decoder gets them."""
     return F.zip_with(codes, F.array(*map(F.lit, base)), lambda c, b: b + 2 * B.num(e) * c)
@@ -129,7 +163,7 @@ def coded(df: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, m
     done, fitted = cells.where(F.col("level") == len(plan)).select("*", F.lit(None).cast("long").alias("code"), F.col("x").alias("y")), []
     for k in range(len(plan) - 1, -1, -1):
         bound, (xs, base) = e * ratio**k, regressors(plan[k], shape, sizes)
-        rows, w = neighbours(cells.where(F.col("level") == k), done, plan[k], shape), None
+        rows, w = neighbours(cells.where(F.col("level") == k), done, plan[k], shape, offsets=how.offsets(plan[k])), None
         if how.fitted:
             rows = saved(rows)  # they are read for each fit and for the prediction
             w = how.weights(in_blocks(rows, sizes), keys, xs, base, bound, threshold)
@@ -137,7 +171,7 @@ def coded(df: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, m
             w = saved(w.select(F.lit(k).alias("level"), *keys, F.transform(pairs, lambda c: c["code"].cast("long")).alias("codes")))
             fitted.append(w)
             w = w.select(*keys, from_codes(F.col("codes"), base, coefficient_bound(e)).alias("w"))
-        rows = with_weights(rows, w, xs, base, sizes)
+        rows = predicted(rows, how, w, plan[k], shape, sizes)
         code = Q.toward_zero(F.col("x") - F.col("pred"), bound)
         done = done.unionByName(saved(rows.select(*axes(ndim), "x", "level", code.alias("code"), Q.dequantize(F.col("pred"), code, bound).alias("y"))))
     return Coded(done, reduce(DataFrame.unionByName, fitted) if fitted else None)
@@ -152,17 +186,18 @@ def compressed(df: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: flo
     return coded(df, shape, plan, e, method, sizes, ratio, threshold).cells
 
 
-def decompressed(codes: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, ratio: float = B.LEVEL_RATIO, coefficients: DataFrame | None = None, sizes: Sequence[int] | None = None) -> DataFrame:
+def decompressed(codes: DataFrame, shape: Sequence[int], plan: Sequence[Step], e: float, ratio: float = B.LEVEL_RATIO, coefficients: DataFrame | None = None, sizes: Sequence[int] | None = None, method: str = "fix") -> DataFrame:
     """(i0.., y) of codes(i0.., level, code, y of the stored cells) and the coefficients that coded() made."""
-    ndim = len(shape)
+    ndim, how = len(shape), method_named(method)
     sizes, keys = list(sizes or [BLOCKS[ndim]] * ndim), block_keys(ndim)
     done = codes.where(F.col("level") == len(plan)).select(*axes(ndim), "y")
     for k in range(len(plan) - 1, -1, -1):
-        rows = neighbours(codes.where(F.col("level") == k).select(*axes(ndim), "code"), done, plan[k], shape)
-        (xs, base), w = regressors(plan[k], shape, sizes), None
+        rows = neighbours(codes.where(F.col("level") == k).select(*axes(ndim), "code"), done, plan[k], shape, offsets=how.offsets(plan[k]))
+        w = None
         if coefficients is not None:
+            _, base = regressors(plan[k], shape, sizes)
             w = coefficients.where(F.col("level") == k).select(*keys, from_codes(F.col("codes"), base, coefficient_bound(e)).alias("w"))
-        rows = with_weights(rows, w, xs, base, sizes)
+        rows = predicted(rows, how, w, plan[k], shape, sizes)
         done = done.unionByName(saved(rows.select(*axes(ndim), Q.dequantize(F.col("pred"), F.col("code"), e * ratio**k).alias("y"))))
     return done
 

@@ -143,7 +143,7 @@ def decoded(header: Header, parts: DataFrame) -> DataFrame:
     coefficients = None
     if codec.method_named(header.method).fitted:
         coefficients = parts.where("kind = 'coefficients'").select("level", "n", "content").mapInArrow(blocks, "level int, " + ", ".join(f"{c} long" for c in codec.block_keys(ndim)) + ", codes array<bigint>")
-    return codec.decompressed(codes, header.shape, plan, header.e, header.ratio, coefficients, header.sizes)
+    return codec.decompressed(codes, header.shape, plan, header.e, header.ratio, coefficients, header.sizes, header.method)
 
 
 def size(header: Header, parts: DataFrame) -> DataFrame:

@@ -46,3 +46,9 @@ def space(spark: SparkSession, sf: str) -> DataFrame:
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+#: Columns of metrics.report() over x and y.
+REPORT = f"""count(*) as n, {R("max(abs(y - x))")} as max_err, {R("max(abs(y - x)) / (max(x) - min(x))")} as max_rel_err, {R("max(case when x <> 0 then abs(y - x) / abs(x) end)")} as max_pointwise_rel,
+    {R("avg((y - x) * (y - x))")} as mse, {R("20 * log10(max(x) - min(x)) - 10 * log10(avg((y - x) * (y - x)))")} as psnr, {R("sqrt(avg((y - x) * (y - x))) / (max(x) - min(x))")} as nrmse,
+    {R("sqrt(sum((y - x) * (y - x)))")} as norm_err, {R("sqrt(sum((y - x) * (y - x))) / sqrt(sum(y * y))")} as norm_err_rel, {R("corr(x, y)")} as correlation"""

@@ -15,7 +15,7 @@ from ..operators import predict as P
 from ..operators import sweep as S
 from ..plans import codec, stencils
 from ..sources import raw
-from .common import BOUND, CUBE, PLANE, SPACE, WIDTH, R, normalized, plane, rounded, signal, space, table
+from .common import BOUND, CUBE, PLANE, REPORT, SPACE, WIDTH, R, normalized, plane, rounded, signal, space, table
 
 
 def fold3d(spark, sf) -> DataFrame:
@@ -62,9 +62,10 @@ def neighbour_gather(spark, sf) -> DataFrame:
 
 
 def tile_merge(spark, sf) -> DataFrame:
+    """The whole signal cut into overlapping tiles, of which the last one wins."""
     s = signal(spark, sf)
-    t = A.tiled(s.where("i < 1000"), 1000, 300).withColumn("x", F.col("x") + F.col("tile"))
-    return rounded(A.merge_tiles(t, ["i"]), "x")
+    size = (s.agg(F.max("i")).first()[0] or 0) + 1
+    return rounded(A.merge_tiles(A.tiled(s, size, 300).withColumn("x", F.col("x") + F.col("tile")), ["i"]), "x")
 
 
 def _lorenzo(ndim: int, layers: int):
@@ -183,19 +184,43 @@ def _multilevel(method: str):
         r = rows.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
         unit = rows.withColumn("x", 2 * (F.col("x") - r["lo"]) / (r["hi"] - r["lo"]) - 1)
         shape = (rows.agg(F.max("i0")).first()[0] + 1, 64)
-        out = codec.compressed(unit, shape, stencils.axis_plan(shape, 6), BOUND, method, (128, 64))
+        out = codec.compressed(unit, shape, stencils.axis_plan(shape, STEPS), BOUND, method, (128, 64))
         report = M.report(out)
         bits = M.entropy(M.histogram(out.where("code is not null"))).select("bits")
-        return report.withColumn("bits", bits.scalar())
+        out = report.withColumn("bits", bits.scalar())
+        return rounded(out, *[c for c in out.columns if c != "n"])
 
     run.__name__ = f"multilevel_{method}"
     return run
 
 
+STEPS = 6  # of the plan of multilevel_*
+
+
+def _multilevel_sql() -> str:
+    """The closed loop of the baseline over an embedding matrix, level by level; the last axis is halved first."""
+    out = ["with e as (select vec_id as i0, unnest(range(len(embedding))) as i1, unnest(embedding)::double as v from embeddings), r as (select min(v) as lo, max(v) as hi from e), a as (select i0, i1, 2e0 * (v - lo) / (hi - lo) - 1 as x from e, r)"]
+    # before step k the grid has strides 2 ** (k // 2) on axis 0 and 2 ** ((k + 1) // 2) on axis 1
+    out.append(f"k{STEPS} as (select i0, i1, x, x as y, cast(null as bigint) as code from a where i0 % {2 ** (STEPS // 2)} = 0 and i1 % {2 ** ((STEPS + 1) // 2)} = 0)")
+    for k in range(STEPS - 1, -1, -1):
+        axis, s0, s1 = (1 if k % 2 == 0 else 0), 2 ** (k // 2), 2 ** ((k + 1) // 2)
+        step = (s0, s1)[axis]
+        there = f"i0 % {s0} = 0 and i1 % {s1} = 0 and i{axis} // {step} % 2 = 1"
+        near = lambda o: f"n.i{axis} = t.i{axis} {o} {step} and n.i{1 - axis} = t.i{1 - axis}"
+        pred = "greatest(-1e0, least(1e0, 0.5e0 * coalesce(u.y, 0) + 0.5e0 * coalesce(w.y, 0)))"
+        e = repr(BOUND * 0.95**k) + "e0"
+        out.append(f"p{k} as (select t.i0, t.i1, t.x, {pred} as p from a t left join k{k + 1} u on {near('-').replace('n.', 'u.')} left join k{k + 1} w on {near('+').replace('n.', 'w.')} where {there.replace('i0', 't.i0').replace('i1', 't.i1')})")
+        out.append(f"c{k} as (select *, cast(case when x - p >= 0 then ceil((x - p - {e}) / (2 * {e})) else floor((x - p + {e}) / (2 * {e})) end as bigint) as code from p{k})")
+        out.append(f"k{k} as (select * from k{k + 1} union all select i0, i1, x, greatest(-1e0, least(1e0, p + 2 * {e} * code)), code from c{k})")
+    out.append("h as (select count(*) as m from k0 where code is not null group by code), b as (select -sum(m / t * log2(m / t)) as bits from h, (select sum(m) as t from h))")
+    return ", ".join(out) + f" select {REPORT}, {R('(select bits from b)')} as bits from k0"
+
+
 def plan_search(spark, sf) -> DataFrame:
+    """The stencil of least loss at every step, until one cell is left."""
     s = plane(spark, sf)
     shape = (s.agg(F.max("i0")).first()[0] + 1, WIDTH)
-    _, found = codec.searched(s, shape, 3, BOUND, "robust", (100, 100))
+    _, found = codec.searched(s, shape, stencils.halvings(shape), BOUND, "robust", (100, 100))
     return spark.createDataFrame(found, "step int, stencil int, loss double")
 
 
@@ -212,14 +237,15 @@ def roi_slice(spark, sf) -> DataFrame:
 
 
 def _regions(spark, sf) -> DataFrame:
-    """Two frames of pixels in three regions, the fourth part being masked out."""
-    cells = plane(spark, sf).where("i0 < 24 and i1 < 48")
-    one = cells.where("i0 < 12").select("i0", "i1", (F.expr("i1 div 12") % 4).alias("region"), F.col("x").alias("a"))
-    two = cells.where("i0 >= 12").select((F.col("i0") - 12).alias("i0"), "i1", F.col("x").alias("b"))
-    return one.join(two, ["i0", "i1"]).where("region <> 0 and (i0 + i1) % 7 <> 0")
+    """Frames of 12 rows in pairs, the second one's pixels as b beside the first one's as a; each pair has regions of 12 columns, of which every fourth is masked out."""
+    cells = plane(spark, sf).select(F.expr("i0 div 24").alias("pair"), (F.col("i0") % 24).alias("i0"), "i1", "x")
+    one = cells.where("i0 < 12").select("pair", "i0", "i1", F.expr("i1 div 12").alias("part"), F.col("x").alias("a"))
+    two = cells.where("i0 >= 12").select("pair", (F.col("i0") - 12).alias("i0"), "i1", F.col("x").alias("b"))
+    return one.join(two, ["pair", "i0", "i1"]).where("part % 4 <> 0 and (i0 + i1) % 7 <> 0").select("i0", "i1", (F.col("pair") * REGIONS + F.col("part")).alias("region"), "a", "b")
 
 
-_REGIONS = f"{PLANE}, p as (select u.i0, u.i1, u.i1 // 12 % 4 as region, u.x as a, v.x as b from a u join a v on v.i0 = u.i0 + 12 and v.i1 = u.i1 where u.i0 < 12 and u.i1 < 48 and u.i1 // 12 % 4 <> 0 and (u.i0 + u.i1) % 7 <> 0)"
+REGIONS = 16  # more than a pair of frames has
+_REGIONS = f"{PLANE}, p as (select u.i0 % 24 as i0, u.i1, u.i0 // 24 * {REGIONS} + u.i1 // 12 as region, u.x as a, v.x as b from a u join a v on v.i0 = u.i0 + 12 and v.i1 = u.i1 where u.i0 % 24 < 12 and u.i1 // 12 % 4 <> 0 and (u.i0 % 24 + u.i1) % 7 <> 0)"
 _CROSS = f"""{_REGIONS}, m as (select region, avg(a) as ma, avg(b) as mb from p group by region),
     k as (select u.region, u.i0 - v.i0 as d0, u.i1 - v.i1 as d1, sum(u.a * v.b) as cc, count(*) as overlap, sum(u.a) as l, sum(v.b) as r from p u join p v on u.region = v.region and abs(u.i0 - v.i0) <= 3 and abs(u.i1 - v.i1) <= 3 group by 1, 2, 3),
     x as (select k.*, case when abs(l * r) > 0 then cc * overlap / l / r else cc end as sym, cc / (overlap * ma * mb) as reg from k join m using (region))"""
@@ -391,6 +417,7 @@ QUERIES = {
 
 _LEVEL = "case when i1 % 2 = 1 then 0 when i0 % 2 = 1 then 1 when i1 % 4 = 2 then 2 when i0 % 4 = 2 then 3 else 4 end"
 SQL = {
+    "multilevel_fix": _multilevel_sql(),
     "fold3d": f"with {SPACE} select i0, i1, i2, {R('x')} as x from a",
     "unfold": f"with {PLANE} select i, {R('x')} as x from s",
     "explode_vectors": f"select vec_id as i0, unnest(range(len(embedding))) as i1, {R('unnest(embedding)::double')} as x from embeddings",
@@ -403,7 +430,8 @@ SQL = {
         select b0, b1, count(*) as n, count(*) filter (i0 // 16 = b0 and i1 // 16 = b1) as own, {R("sum(x)")} as total from e group by b0, b1""",
     "neighbour_gather": f"""with {PLANE} select a.i0, a.i1, {R("a.x")} as x, {R("l.x")} as n0, {R("r.x")} as n1, {R("u.x")} as n2, {R("d.x")} as n3 from a left join a l on l.i0 = a.i0 and l.i1 = a.i1 - 1 left join a r on r.i0 = a.i0 and r.i1 = a.i1 + 1
         left join a u on u.i0 = a.i0 - 1 and u.i1 = a.i1 left join a d on d.i0 = a.i0 + 1 and d.i1 = a.i1""",
-    "tile_merge": f"with t as (select unnest([0, 1, 2, 3]) as tile, unnest([0, 233, 467, 700]) as start) select event_id as i, {R('max_by(value + tile, tile)')} as x from events, t where event_id < 1000 and event_id between start and start + 299 group by event_id",
+    "tile_merge": f"""with z as (select max(event_id) + 1 as n, cast(ceil((max(event_id) + 1) / 300) as bigint) as k from events), t as (select range as tile, round_even(range * ((n - 300) / greatest(1, k - 1)), 0) as start from z, range((select k from z)))
+        select event_id as i, {R('max_by(value + tile, tile)')} as x from events join t on event_id >= start and event_id < start + 300 group by event_id""",
     **{f"lorenzo{layers}_{ndim}d": _lorenzo_sql(ndim, layers) for ndim, layers in LORENZO},
     "block_regression_3d": f"""with {SPACE}, m as (select i0 // 5 as b0, i1 // 5 as b1, i2 // 5 as b2, regr_slope(x, i0 % 5) as c0, regr_slope(x, i1 % 5) as c1, regr_slope(x, i2 % 5) as c2, avg(x) as m, avg(i0 % 5) as p0, avg(i1 % 5) as p1, avg(i2 % 5) as p2, count(*) as n from a group by 1, 2, 3)
         select b0, b1, b2, {R("c0")} as c0, {R("c1")} as c1, {R("c2")} as c2, {R("m - c0 * p0 - c1 * p1 - c2 * p2")} as intercept, n from m""",

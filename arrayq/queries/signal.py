@@ -13,7 +13,7 @@ from ..operators import entropy as E
 from ..operators import metrics as M
 from ..operators import predict as P
 from ..plans import codec, stencils
-from .common import BLOCK, BOUND, NORM, R, SIGNAL, normalized, rounded, signal, table
+from .common import BLOCK, BOUND, NORM, REPORT, SIGNAL, R, normalized, rounded, signal, table
 
 #: SQL of the code of a residual d with bound e, halves towards zero.
 CODE = "cast(case when {d} >= 0 then ceil(({d} - {e}) / (2 * {e})) else floor(({d} + {e}) / (2 * {e})) end as bigint)"
@@ -130,7 +130,7 @@ _INTERP = {
     "cubic": "(-a + 9 * b + 9 * c - d) / 16", "cubic_front": "(5 * a + 15 * b - 5 * c + d) / 16", "cubic_front_2": "(a + 6 * b - 4 * c + d) / 4", "cubic_back_1": "(a - 5 * b + 15 * c + 5 * d) / 16",
     "cubic_back_2": "(-5 * a + 21 * b - 35 * c + 35 * d) / 16", "cubic2": "(-3 * a + 23 * b + 23 * c - 3 * d) / 40",
     "akima": "(b + c) / 2 + case when abs(2*b-a-c) + abs(2*c-b-d) > 1e-9 then ((2*b-a-c) * abs(2*c-b-d) + (2*c-b-d) * abs(2*b-a-c)) / 8 / (abs(2*b-a-c) + abs(2*c-b-d)) else 0e0 end",
-    "pchip": "(b + c) / 2", "mean_4": "(a + b + c + d) / 4", "weighted": "0.1e0 * a + 0.4e0 * b + 0.4e0 * c + 0.1e0 * d",
+    "pchip": "(b + c) / 2 + (case when (b - a) * (c - b) > 0 then (b - a) * (c - b) / (c - a) else 0e0 end - case when (c - b) * (d - c) > 0 then (c - b) * (d - c) / (d - b) else 0e0 end) / 4", "mean_4": "(a + b + c + d) / 4", "weighted": "0.1e0 * a + 0.4e0 * b + 0.4e0 * c + 0.1e0 * d",
 }
 
 
@@ -204,7 +204,7 @@ def range_prefilter(spark, sf) -> DataFrame:
 
 
 def byte_truncation(spark, sf) -> DataFrame:
-    return E.truncated(signal(spark, sf), 2)
+    return rounded(E.truncated(signal(spark, sf), 2), "x", "y")
 
 
 def huffman_bytes(spark, sf) -> DataFrame:
@@ -226,9 +226,6 @@ _TWO = f"""{NORM}, l2 as (select i, 2 as level, cast(null as bigint) as code, x,
     k as (select * from l2 union all select * from l1),
     p0 as (select t.i, t.x, {CLAMP.format(x="0.5e0 * coalesce(a.y, 0) + 0.5e0 * coalesce(b.y, 0)")} as p, {BOUND!r}e0 as e from s t left join k a on a.i = t.i - 1 left join k b on b.i = t.i + 1 where t.i % 2 = 1),
     c0 as (select *, {CODE.format(d="(x - p)", e="e")} as code from p0), f as (select * from k union all select i, 0, code, x, {CLAMP.format(x="p + 2 * e * code")} from c0)"""
-_REPORT = f"""count(*) as n, {R("max(abs(y - x))")} as max_err, {R("max(abs(y - x)) / (max(x) - min(x))")} as max_rel_err, {R("max(case when x <> 0 then abs(y - x) / abs(x) end)")} as max_pointwise_rel,
-    {R("avg((y - x) * (y - x))")} as mse, {R("20 * log10(max(x) - min(x)) - 10 * log10(avg((y - x) * (y - x)))")} as psnr, {R("sqrt(avg((y - x) * (y - x))) / (max(x) - min(x))")} as nrmse,
-    {R("sqrt(sum((y - x) * (y - x)))")} as norm_err, {R("sqrt(sum((y - x) * (y - x))) / sqrt(sum(y * y))")} as norm_err_rel, {R("corr(x, y)")} as correlation"""
 _CODES = f"{NORM}, c as (select i, {CODE.format(d='x', e=f'{BOUND!r}e0')} as code from s)"
 _AWAY = f"""{SIGNAL}, h as (select *, (cast(floor(abs(x) / 0.5e0) as bigint) + 1) // 2 * (case when x < 0 then -1 else 1 end) as q from s),
     g as (select i, x, case when floor(abs(x) / 0.5e0) + 1 < 512 and abs(q - x) <= 0.5e0 then q + 256 else 0 end as code, cast(q as double) as v from h)"""
@@ -259,8 +256,8 @@ SQL = {
     "bit_width": f"with {_AWAY} select cast(length(bin(max(code))) as integer) as bits from g",
     "shannon_code_bits": f"with {_CODES}, h as (select code, count(*) as n from c group by code), t as (select sum(n) as t from h) select code, n, cast(greatest(1, ceil(log2(t / n))) as integer) as bits from h, t",
     "two_level_fix": f"with {_TWO} select i, level, code, {R('y')} as y from f",
-    "quality_report": f"with {_TWO}, h as (select count(*) as m from f where code is not null group by code), b as (select -sum(m / t * log2(m / t)) as bits from h, (select sum(m) as t from h)) select {_REPORT}, {R('(select bits from b)')} as bits from f",
-    "quality_by_group": f"with v as (select event_type, value as x, 1000 * {CLAMP.format(x='1e-2 * ' + CODE.format(d='(value / 1000)', e='5e-3'))} as y from events) select event_type, {_REPORT} from v group by event_type",
+    "quality_report": f"with {_TWO}, h as (select count(*) as m from f where code is not null group by code), b as (select -sum(m / t * log2(m / t)) as bits from h, (select sum(m) as t from h)) select {REPORT}, {R('(select bits from b)')} as bits from f",
+    "quality_by_group": f"with v as (select event_type, value as x, 1000 * {CLAMP.format(x='1e-2 * ' + CODE.format(d='(value / 1000)', e='5e-3'))} as y from events) select event_type, {REPORT} from v group by event_type",
     "lag1_autocorrelation": f"with {SIGNAL}, m as (select avg(x) as m from s), d as (select i, x - m as d from s, m), e as (select d, lead(d) over (order by i) as n from d) select {R('avg(d * n) / avg(d * d)')} as autocorrelation from e",
     "interpolation": f"with {NORM}, n as (select i, lag(x, 3) over w as a, lag(x) over w as b, lead(x) over w as c, lead(x, 3) over w as d from s window w as (order by i)) select i, {', '.join(f'{R(v)} as p_{k}' for k, v in _INTERP.items())} from n where i % 2 = 1 and a is not null and d is not null",
     "block_regression": f"with {NORM} select i // {BLOCK} as block, {R(f'regr_slope(x, i % {BLOCK})')} as slope, {R(f'regr_intercept(x, i % {BLOCK})')} as intercept, count(*) as n from s group by 1",
@@ -281,5 +278,7 @@ SQL = {
         select bin, cast(n as bigint) as n from p order by n desc, bin limit 1""",
     "quantization_intervals": f"""with {NORM}, o as (select x, coalesce(lag(x) over (order by i), 0) as p from s), k as (select least(cast(floor((abs(p - x) / 1e-3 + 1) / 2) as bigint), 8191) as k from o), h as (select k, count(*) as n from k group by k),
         c as (select k, sum(n) over (order by k) as s, sum(n) over () as t from h), f as (select coalesce(min(k) filter (s > floor(t * 0.999e0)), 8191) as k from c) select greatest(32, cast(2 * pow(2, ceil(log2(2 * (k + 1)))) as bigint)) as intervals from f""",
+    "byte_truncation": f"""with {SIGNAL}, f as (select i, x, x::float::double as v from s), p as (select *, case when v = 0 then 0e0 else pow(2e0, floor(log2(abs(v))) - 7) end as unit from f)
+        select i, {R("x")} as x, {R("case when v = 0 then 0e0 else trunc(v / unit) * unit end")} as y from p""",
     "range_prefilter": "select event_id as i, case when value between 10 and 100 then value else -1 end as x from events",
 }

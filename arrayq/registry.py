@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import coding, grid, signal
+from .queries import coding, grid, signal, streams
 from .runtime import query
 
-QUERIES: dict = {k: query(f) for k, f in (signal.QUERIES | grid.QUERIES | coding.QUERIES).items()}
-SQL: dict = signal.SQL | grid.SQL | coding.SQL
+QUERIES: dict = {k: query(f) for k, f in (signal.QUERIES | grid.QUERIES | coding.QUERIES | streams.QUERIES).items()}
+SQL: dict = signal.SQL | grid.SQL | coding.SQL | streams.SQL

@@ -107,6 +107,22 @@ def renamed_bounds(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<![\d.])([1-9])e-0(\d)", "$1.0e-0$2")
 
 
+def retagged(names: DataFrame, old: str, new: str, name: str = "name") -> DataFrame:
+    """(name, renamed, taken): names with the tag ``old``, and what they become with ``new`` in its place; taken: there is a file of that name.
+
+    Names that have the new tag stay out.
+    """
+    target = F.replace(F.col(name), F.lit(old), F.lit(new))
+    some = names.where(F.contains(F.col(name), F.lit(old)) & ~F.contains(F.col(name), F.lit(new))).select(name, target.alias("renamed"))
+    there = names.select(F.col(name).alias("renamed")).distinct().withColumn("taken", F.lit(True))
+    return some.join(there, "renamed", "left").select(name, "renamed", F.coalesce("taken", F.lit(False)).alias("taken"))
+
+
+def missing(wanted: DataFrame, there: DataFrame, name: str = "name") -> DataFrame:
+    """The wanted files that are not there; null names are missing."""
+    return wanted.join(there.select(name).distinct(), name, "left_anti")
+
+
 def scraped(lines: DataFrame, patterns: dict[str, str], line: str = "value") -> DataFrame:
     """A log's lines with the first group of each pattern as a number, null where it doesn't match."""
     return lines.select("*", *(F.regexp_extract(line, p, 1).try_cast("double").alias(k) for k, p in patterns.items()))

@@ -154,13 +154,13 @@ def test_stream_round_trip(spark, method, shape, tmp_path):
     a, plan = smooth(shape), stencils.axis_plan(shape, 3)
     made = codec.coded(grid(spark, a), shape, plan, 0.02, method, [8] * len(shape))
     y = back(made.cells, shape)
-    assert np.abs(y - a).max() <= 0.02 * (1 + 1e-6) and (made.coefficients is not None) == (method != "fix")
+    assert np.abs(y - a).max() <= 0.02 * (1 + 1e-6) and (made.coefficients is not None) == codec.METHODS[method].fitted
     header, parts = stream.encoded(grid(spark, a), shape, plan, 0.02, method, [8] * len(shape), stretch=16)
     stream.write(header, parts, f"file://{tmp_path}/s")
     header, parts = stream.read(spark, f"file://{tmp_path}/s")
     assert np.array_equal(back(stream.decoded(header, parts), shape), y)
     of = {r.kind: (r.n, r.bytes) for r in stream.size(header, parts).collect()}
-    assert of["code"][0] + of["stored"][0] == math.prod(shape) and set(of) == {"header", "table", "code", "stored", *(["coefficients"] if method != "fix" else [])}
+    assert of["code"][0] + of["stored"][0] == math.prod(shape) and set(of) == {"header", "table", "code", "stored", *(["coefficients"] if codec.METHODS[method].fitted else [])}
 
 
 def test_stream_of_other_plans(spark):

@@ -7,10 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from arrayq.functions import bytes as Y
+from arrayq.functions import interpolate as I
 from arrayq.operators import ans, levels, wavelet
+from arrayq.operators import entropy as E
 from arrayq.operators import metrics as M
 from arrayq.operators import predict as P
+from arrayq.plans import codec, stencils
 from arrayq.runtime import reachable
+from arrayq.sources import raw
 
 
 @pytest.mark.parametrize("size", [2, 4, 64])
@@ -96,3 +100,46 @@ def test_divisions_are_the_best():
     for k, (cost, means) in enumerate(levels.divisions(np.ones(9), x, x * x, 4), 1):
         best = min(sum(((p - p.mean()) ** 2).sum() for p in np.split(x, c)) for c in combinations(range(1, 9), k - 1))
         assert np.isclose(cost, best) and len(means) == k
+
+
+@pytest.mark.parametrize("width", [1, 5, 9, 33])
+def test_packed_ints(spark, width):
+    reachable(spark)
+    codes = np.random.default_rng(width).integers(0, 1 << width, 1003)
+    df = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "i long, code long")
+    rows = E.bits_packed(df, width, 100)
+    assert [r.code for r in E.bits_unpacked(rows, width, 100).orderBy("i").collect()] == codes.tolist()
+    assert sum(len(r.content) for r in rows.collect()) == 10 * -(-100 * width // 8) + -(-3 * width // 8)
+    with pytest.raises(Exception, match="a code outside"):
+        E.bits_packed(df.withColumn("code", F.lit(1 << width)), width).collect()
+    assert E.bits_packed(df.limit(0), width).count() == 0
+
+
+def test_interpolation_slopes(spark):
+    """Middles of parabolas' and monotone steps' neighbours; no overshoot at a kink."""
+    df = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0), (1.0, 2.0, 4.0, 8.0), (0.0, 1.0, 1.0, 0.0), (9.0, 1.0, 1.0, 9.0)], "a double, b double, c double, d double")
+    got = [(r.p, r.q) for r in df.select(I.pchip(*map(F.col, "abcd")).alias("p"), I.akima(*map(F.col, "abcd")).alias("q")).collect()]
+    assert np.allclose([g[0] for g in got], [0.5, 3 + (2 / 3 - 4 / 3) / 4, 1.0, 1.0])
+    assert np.allclose(got[0][1], 0.5) and got[3][1] < 1
+
+
+def test_cubic_method_is_exact_on_cubics(spark):
+    reachable(spark)
+    x = np.arange(33) / 16 - 1
+    a = x**3 * 0.5 - 0.3 * x
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(a)], "i0 long, x double")
+    step = stencils.axis_plan((33,), 1)[0]
+    how = codec.METHODS["cubic"]
+    rows = codec.neighbours(df.where(step.is_target()), df.where(step.is_known()), step, (33,), "x", how.offsets(step))
+    rows = codec.predicted(rows, how, None, step, (33,), [64]).collect()
+    assert all(np.isclose(r.pred, r.x) for r in rows if 3 <= r.i0 <= 29) and len(rows) == 16
+    assert all(abs(r.pred - r.x) < 1e-3 for r in rows)
+    diagonal = stencils.Step((1, 1), next(x for x in stencils.catalog(2) if x.known == (0, 3)))
+    with pytest.raises(ValueError, match="one axis"):
+        how.offsets(diagonal)
+
+
+def test_retagged_and_missing(spark):
+    names = spark.createDataFrame([("a.qoz",), ("a.qoz2",), ("b.qoz",), (None,), ("c",)], "name string")
+    assert sorted(map(tuple, raw.retagged(names, "qoz", "qoz2").collect())) == [("a.qoz", "a.qoz2", True), ("b.qoz", "b.qoz2", False)]
+    assert sorted(r.name for r in raw.missing(names.where("name is not null"), names.where("name = 'c'")).collect()) == ["a.qoz", "a.qoz2", "b.qoz"]
