@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bounds as B
 from ..functions import quantize as Q
 from ..operators import arrays as A
 from ..operators import imaging as G
@@ -366,9 +367,14 @@ def sweep_wide(spark, sf) -> DataFrame:
 
 
 def model_ratio(spark, sf) -> DataFrame:
-    """Bytes of all blocks before over after, and the plain mean of a per-sample loss."""
-    d = table(spark, sf, "documents").where("text is not null").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("before"), F.sum(F.ceil(F.octet_length("text") / 3)).alias("after"), F.avg(F.log2(F.length("text") + 1.0)).alias("loss"))
-    return rounded(d.select("lang", M.ratio(F.col("before"), F.col("after")).alias("cr"), "loss"), "cr", "loss")
+    """For each kind of event, bits of its values before over those of their codes under one model of all codes, and the plain mean of the codes' loss."""
+    s = table(spark, sf, "events").select("event_type", F.col("value").alias("x"))
+    r = B.value_range(s)
+    codes = s.select("event_type", Q.toward_zero(B.normalize(F.col("x"), r["lo"], r["hi"]), BOUND).alias("code"))
+    each = M.histogram(codes, by=["event_type"])
+    shares = each.groupBy("code").agg(F.sum("n").alias("of")).select("code", (-F.log(F.col("of") / codes.agg(F.count("*")).scalar())).alias("loss"))
+    total = each.join(shares, "code").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("loss")).alias("loss"))
+    return rounded(total.select("event_type", M.ratio(32 * F.col("n"), F.col("loss") / F.log(F.lit(2.0))).alias("cr"), (F.col("loss") / F.col("n")).alias("loss")), "cr", "loss")
 
 
 # catalogues and logs
@@ -472,7 +478,9 @@ SQL = {
     "sweep_upsert": f"with {_TABLES} select dataset, rel_eb, codec, coalesce(w.cr, o.cr) as cr, coalesce(w.psnr, o.psnr) as psnr from o full join w using (dataset, rel_eb, codec)",
     "sweep_missing": f"with {_TABLES} select dataset, rel_eb, codec from w where not exists (select 1 from o where o.dataset = w.dataset and o.cr is not null and o.psnr is not null)",
     "sweep_wide": f"""with {_TABLES}, u as (select * from o union all select dataset, rel_eb, 'ridge', cr, psnr from w) select dataset, rel_eb, max(cr) filter (codec = 'fix') as "fix_CR", max(psnr) filter (codec = 'fix') as "fix_PSNR", max(cr) filter (codec = 'ridge') as "ridge_CR", max(psnr) filter (codec = 'ridge') as "ridge_PSNR" from u group by dataset, rel_eb""",
-    "model_ratio": f"select lang, {R('sum(strlen(text)) / sum(ceil(strlen(text) / 3))')} as cr, {R('avg(log2(length(text) + 1))')} as loss from documents where text is not null group by lang",
+    "model_ratio": f"""with r as (select min(value) as lo, max(value) as hi from events), d as (select event_type, 2e0 * (value - lo) / (hi - lo) - 1 as x from events, r),
+        c as (select event_type, cast(case when x >= 0 then ceil((x - {BOUND!r}e0) / {2 * BOUND!r}e0) else floor((x + {BOUND!r}e0) / {2 * BOUND!r}e0) end as bigint) as code from d), h as (select code, count(*) as n from c group by code), t as (select sum(n) as t from h)
+        select event_type, {R("32 * count(*) / sum(-log2(n / t))")} as cr, {R("avg(-ln(n / t))")} as loss from c join h using (code), t group by event_type""",
     "catalog_regex_median": """with f as (select printf('16_%d_%d_2048_%04d.bin', range % 7 + 4, range % 3 + 20, range * 37 % 600) as name, cast(range % 7 + 4 as integer) as k1, cast(range % 3 + 20 as integer) as k2 from range(600)),
         o as (select *, row_number() over (partition by k1, k2 order by name) as r, count(*) over (partition by k1, k2) as n from f) select k1, k2, name, n from o where r = n // 2 + 1""",
     "renamed_bounds": "select p_partkey, printf('%d.0e-0%d/part_%d.txt', p_size % 9 + 1, p_partkey % 9, p_partkey) as name from part",

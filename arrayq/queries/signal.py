@@ -218,6 +218,21 @@ def _solve_sql(rows: str) -> str:
         from (select block, count(*) as c, sum(a*a) as saa, sum(a*b) as sab, sum(b*b) as sbb, sum(a*x) as say, sum(b*x) as sby from {rows} group by block) group by block, saa, sab, sbb, say, sby, c""".replace("count(*) as n", "c as n").replace("((saa + 1e-8) * 0 + ", "(")
 
 
+def _zfit_sql(name: str, rows: str, least: int) -> str:
+    """Ridge fit of x on z-scored a, b, i for each block with enough rows, by determinants."""
+    v = ("a", "b", "i")
+    stats = ", ".join(f"avg({k}) as m{k}, stddev_pop({k}) as s{k}" for k in v)
+    z = ", ".join(f"case when s{k} > 0 then ({k} - m{k}) / s{k} else 0e0 end as z{k}" for k in v)
+    sums = ", ".join([*(f"sum(z{j} * z{k}){' + 1e-7' if j == k else ''} as {j}{k}" for n, j in enumerate(v) for k in v[n:]), *(f"sum(z{k} * (x - my)) as y{k}" for k in v)])
+    columns = [("aa", "ab", "ai"), ("ab", "bb", "bi"), ("ai", "bi", "ii"), ("ya", "yb", "yi")]
+    minor = lambda p, q, r: f"({p[0]} * ({q[1]} * {r[2]} - {q[2]} * {r[1]}) - {q[0]} * ({p[1]} * {r[2]} - {p[2]} * {r[1]}) + {r[0]} * ({p[1]} * {q[2]} - {p[2]} * {q[1]}))"
+    det = minor(*columns[:3])
+    w = ", ".join(f"case when s{k} > 0 then {minor(*(columns[3] if j == n else columns[j] for j in range(3)))} / {det} / s{k} else 0e0 end as w{n}" for n, k in enumerate(v))
+    groups = "n, my, " + ", ".join(f"m{k}, s{k}" for k in v)
+    return f"""{name}m as (select block, count(*) as n, avg(x) as my, {stats} from {rows} group by block), {name}z as (select block, x, {groups}, {z} from {rows} join {name}m using (block)),
+        {name}g as (select block, {groups}, {sums} from {name}z group by block, {groups}), {name}w as (select *, {w} from {name}g where n >= {least}), {name} as (select block, n, w0, w1, w2, my - w0 * ma - w1 * mb - w2 * mi as w3 from {name}w)"""
+
+
 _PAIRS = f"""{NORM}, o as (select i, x, coalesce(lag(x) over (order by i), 0) as a, coalesce(lead(x) over (order by i), 0) as b from s),
     q as (select *, i // {BLOCK} as block from o where i % 2 = 1)"""
 _TWO = f"""{NORM}, l2 as (select i, 2 as level, cast(null as bigint) as code, x, x as y from s where i % 4 = 0),
@@ -273,6 +288,8 @@ SQL = {
     "filtered_refit_k2": f"""with {_PAIRS}, w as ({_solve_sql("q")}), k as (select q.* from q join w using (block) where abs(w0 * a + w1 * b - x) <= {BOUND!r}e0 * 9), v as ({_solve_sql("k")})
         select w.block, coalesce(v.n, 0) as n, {R("coalesce(v.w0, 0.5e0)")} as w0, {R("coalesce(v.w1, 0.5e0)")} as w1 from w left join v using (block)""",
     "sampled_fit_k2": f"with {_PAIRS}, k as (select * from q where i % {BLOCK} // 2 % 4 = 0), w as ({_solve_sql('k')}) select block, n, {R('w0')} as w0, {R('w1')} as w1 from w",
+    "standardized_fit": f"""with {_PAIRS}, {_zfit_sql("f", "q", 8)}, k as (select q.* from q join f using (block) where abs(w0 * a + w1 * b + w2 * i + w3 - x) <= {3 * BOUND!r}e0), {_zfit_sql("h", "k", 8)}
+        select block, coalesce(n, 0) as n, {R("coalesce(w0, 0.5e0)")} as w0, {R("coalesce(w1, 0.5e0)")} as w1, {R("coalesce(w2, 0)")} as w2, {R("coalesce(w3, 0)")} as w3 from (select distinct block from q) left join h using (block)""",
     "mean_bin": f"""with {NORM}, m as (select avg(x) as m from s), b as (select cast(case when x - m > 0 then floor((x - m) / 2e-2) else ceil((x - m) / 2e-2) - 1 end as bigint) as bin from s, m),
         h as (select bin, count(*) as n from b group by bin), p as (select bin, sum(n) as n from (select bin, n from h union all select bin - 1, n from h) group by bin)
         select bin, cast(n as bigint) as n from p order by n desc, bin limit 1""",
