@@ -143,6 +143,9 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
             new = np.flatnonzero(first | np.append(True, doc[1:] != doc[:-1])[: len(name)])
             # a run that a smaller document of this batch has is settled here, and goes where its name is not awaited
             gone = ~first[new]
+            # by document again, so that the column of ids compresses in the shuffle
+            order = np.lexsort((name[new], doc[new]))
+            new, gone = new[order], gone[order]
             a, name, doc = a[new], name[new], doc[new]
             with np.errstate(over="ignore"):
                 a = np.where(gone, W.mix(a ^ W.mix(doc.view(W.U) + W.U(9))), a)
