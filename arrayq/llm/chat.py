@@ -1,15 +1,15 @@
 """Chat formatting by event-sourced reconstruction.
 
 A log holds events (conv_id, seq, turn, kind, role, text): ``message`` begins a turn, ``delta`` appends to it,
-``edit`` replaces its text, ``regenerate`` empties it for the deltas that follow, ``delete`` removes it.  Events are sorted by seq
-for each turn of each conversation and folded into the final message; the messages of a conversation, by turn, are
+``edit`` replaces its text, ``regenerate`` empties it for the deltas that follow, ``delete`` removes it.  The log is partitioned by
+conversation, once for all steps; there each turn's events are sorted by seq and folded into the final message; the messages of a conversation, by turn, are
 rendered as ``<s>[INST] role [/INST]text</s>``.  Inside roles and texts a backslash is doubled, and the four control strings get a
 backslash behind their first character, which unescape() takes away again.  Loss is on the texts of the assistant.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOSS_ROLE = "assistant"
@@ -28,7 +28,7 @@ def unescape(c: Column) -> Column:
 def events(rows: DataFrame) -> DataFrame:
     """A log of whole messages from (conv_id, turn, role, text); repeated turns are messages of their own, in the order of role and text."""
     order = F.expr("row_number() over (partition by conv_id, turn order by role, text)")
-    return rows.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text", order.cast("long").alias("copy"))
+    return rows.repartition("conv_id").select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text", order.cast("long").alias("copy"))
 
 
 def streamed(log: DataFrame) -> DataFrame:
@@ -75,20 +75,21 @@ def folded(log: DataFrame) -> DataFrame:
 def rendered(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): the text of each conversation and its loss mask, spans [begin, end) in code points.
 
-    A conversation is one cell of the result, so its messages are brought together, already rendered.
+    A conversation is one cell of the result, so its messages are brought together, already rendered; a running sum over them gives their places.
+    Null roles count as empty and null texts too; null conv_ids make one conversation; messages of one turn come by copy, and equal ones stay both.
     """
-    head = F.concat(F.lit("<s>[INST] "), escape(F.col("role")), F.lit(" [/INST]"))
-    part = F.struct("turn", "copy", F.concat(head, escape(F.col("text")), F.lit("</s>")).alias("s"), F.length(head).alias("head"), (F.col("role") == LOSS_ROLE).alias("loss"))
-    parts = messages.select("conv_id", part.alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    # positions by a running sum over the parts' lengths
-    lengths = F.transform("p", lambda x: F.length(x["s"]))
-    begins = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    spans = F.zip_with("p", F.slice(begins, 1, F.size("p")), lambda x, b: F.when(x["loss"], F.struct((b + x["head"]).alias("begin"), (b + F.length(x["s"]) - 4).alias("end"))))
-    return parts.select("conv_id", F.concat_ws("", F.transform("p", lambda x: x["s"])).alias("formatted"), F.filter(spans, lambda x: x.isNotNull()).alias("loss"))
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    head = F.concat(F.lit("<s>[INST] "), escape(role), F.lit(" [/INST]"))
+    parts = messages.select("conv_id", "turn", "copy", F.concat(head, escape(text), F.lit("</s>")).alias("s"), F.length(head).alias("head"), (role == LOSS_ROLE).alias("loss"))
+    before = F.sum(F.length("s")).over(Window.partitionBy("conv_id").orderBy("turn", "copy").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("begin", F.coalesce(before, F.lit(0)))
+    span = F.when(F.col("loss"), F.struct((F.col("begin") + F.col("head")).cast("int").alias("begin"), (F.col("begin") + F.length("s") - 4).cast("int").alias("end")))
+    parts = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("begin", "s", span.alias("span")))).alias("p"))
+    return parts.select("conv_id", F.concat_ws("", F.transform("p", lambda x: x["s"])).alias("formatted"), F.filter(F.transform("p", lambda x: x["span"]), lambda x: x.isNotNull()).alias("loss"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from formatted(conv_id, formatted, loss)."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from formatted(conv_id, formatted, loss); no rows give no rows."""
     roles, texts = (F.transform(F.regexp_extract_all("formatted", F.lit(TURN), F.lit(k)), unescape) for k in (1, 2))
     turns = F.zip_with(roles, texts, lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n")))
     lost = F.transform("loss", lambda x: unescape(F.substring(F.col("formatted"), x["begin"] + 1, x["end"] - x["begin"])))

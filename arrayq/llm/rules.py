@@ -53,12 +53,18 @@ def measured(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def at_most(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), exactly (in logs)."""
+    """P(X <= k) for X ~ Binomial(n, p): the exact sum over the tail that k lies in, outwards until terms no longer count."""
     if k >= n:
         return 1.0
-    head = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, -1, -1)]
-    top = max(head)
-    return min(1.0, exp(top) * sum(exp(x - top) for x in head))
+    low = k < n * p
+    first = k if low else k + 1
+    term = exp(lgamma(n + 1) - lgamma(first + 1) - lgamma(n - first + 1) + first * log(p) + (n - first) * log(1 - p))
+    total, i = term, first
+    while term > total * 1e-18 and (i > 0 if low else i < n):
+        term *= i * (1 - p) / ((n - i + 1) * p) if low else (n - i) * p / ((i + 1) * (1 - p))
+        i += -1 if low else 1
+        total += term
+    return min(1.0, total) if low else max(0.0, 1 - total)
 
 
 def rule_values() -> list:
@@ -146,7 +152,7 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every row of docs(doc_id, text, stratum, ...).
 
     labels(doc_id, quality, ...): documents with quality 1 (in all of their rows) are the good ones; nulls don't count, and
-    unlabelled documents only order the cutoffs.  A null stratum is one of its own.  Null or empty texts have no words, so they fail the
+    unlabelled documents only order the cutoffs.  A null stratum counts with the empty one.  Null or empty texts have no words, so they fail the
     base rule.  Repeated rows are judged alike.  base_failed: fewer than 20 words or over 30 % repeated words.
     """
     rows = saved(measured(docs, (stratum,)))

@@ -10,10 +10,15 @@ process commits and compacts at a time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
+from .packing import encoder
+
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long"
 #: Tokenizer versions: a regular expression that matches one token with what surrounds it, its first character as group 1, or text
@@ -25,8 +30,21 @@ TOKENIZERS = {
 
 
 def deltas(docs: DataFrame, tokenizer: str, sign: int | Column = 1) -> DataFrame:
-    """(source, lang, tokenizer, sign, tokens) for each row of docs(text, source, lang, ...); null texts have no tokens."""
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), (F.lit(sign) if isinstance(sign, int) else sign).cast("long").alias("sign"), F.coalesce(F.length(F.regexp_replace("text", TOKENIZERS[tokenizer], "$1")), F.lit(0)).cast("long").alias("tokens"))
+    """(source, lang, tokenizer, sign, tokens) for each row of docs(text, source, lang, ...); null texts have no tokens.
+
+    tokenizer: one of TOKENIZERS, or else the name of a public byte-level BPE vocabulary, whose ids are counted in Arrow batches.
+    """
+    keys = [F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), (F.lit(sign) if isinstance(sign, int) else sign).cast("long").alias("sign")]
+    if tokenizer in TOKENIZERS:
+        return docs.select(*keys, F.coalesce(F.length(F.regexp_replace("text", TOKENIZERS[tokenizer], "$1")), F.lit(0)).cast("long").alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for b in W.pieces(batches, "text"):
+            n = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*KEYS, "sign")), pa.array(n, pa.int64())], [*KEYS, "sign", "tokens"])
+
+    return docs.select(*keys, "text").mapInArrow(run, "source string, lang string, tokenizer string, sign long, tokens long")
 
 
 def revisions(old: DataFrame, new: DataFrame, tokenizer: str) -> DataFrame:
@@ -66,7 +84,10 @@ class Rollup:
             self._files(at).delete(at, True)
 
     def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, documents, tokens) over all committed batches; groups that deletes emptied are gone."""
+        """(source, lang, tokenizer, documents, tokens) over all committed batches; groups that deletes emptied are gone.
+
+        Of several attempts at one batch the latest complete one counts; without batches there are no rows.
+        """
         base, folded = self._base()
         return self._sums([*self._batches(folded).values(), *([base] if base else [])])
 

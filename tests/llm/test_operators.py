@@ -210,7 +210,9 @@ def test_quality_rules(spark):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert not (r.base_failed and r.kept)
     assert rules.judged(docs.limit(0), labels).count() == 0
-    assert math.isclose(rules.at_most(3, 40, 0.1), sum(math.comb(40, i) * 0.1**i * 0.9 ** (40 - i) for i in range(4)))
+    exact = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    for k, n, p in ((3, 40, 0.1), (0, 437, 0.01), (30, 40, 0.5), (39, 40, 0.9), (40, 40, 0.9), (900, 1000, 0.9)):
+        assert math.isclose(rules.at_most(k, n, p), exact(k, n, p), rel_tol=1e-9)
 
 
 def test_thresholds_keep_good_documents(spark, tmp_path):
@@ -313,6 +315,17 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert r.totals().count() == 0
 
 
+def test_public_tokenizer_counts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a b c", None, "", "Ünïcode  \n\n text " * 50, "x" * 5000]
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    r.commit(1, token_counts.deltas(frame(spark, list(enumerate(texts))), "byte_bpe_50k"))
+    assert [tuple(x) for x in r.totals().collect()] == [("web", "en", "byte_bpe_50k", 5, sum(len(t.encode(x or "", add_special_tokens=False).ids) for x in texts))]
+
+
 def test_rollup_revises_survives_and_compacts(spark, tmp_path):
     old, new = frame(spark, [(1, "a b c"), (2, "d")]), frame(spark, [(1, "a b c e"), (2, "d")])
     r = token_counts.Rollup(spark, f"file://{tmp_path}/r")
@@ -342,6 +355,11 @@ def test_streamed_chats_fold_to_their_messages(spark):
     assert {r.kind for r in many.collect()} == {"message", "delta", "edit", "regenerate", "delete"} and many.count() >= 3 * len(rows)
     key = lambda d: sorted(map(repr, d.collect()))
     assert key(chat.folded(many)) == key(chat.folded(log))
+    assert key(chat.rendered(chat.folded(many))) == key(chat.rendered(chat.folded(log)))
+    one = frame(spark, [(k, "x") for k in range(3000)]).select(F.lit(7).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), F.concat("text", F.col("doc_id").cast("string")).alias("text"))
+    r = chat.rendered(chat.folded(chat.events(one))).first()
+    assert [r.formatted[b:e] for b, e in r.loss] == [f"x{k}" for k in range(3000)]
+    assert chat.digest(chat.rendered(chat.folded(chat.events(one.limit(0))))).count() == 0
 
 
 def tiled(item, doc, least):
