@@ -148,8 +148,9 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
             new, gone = new[order], gone[order]
             a, name, doc = a[new], name[new], doc[new]
             with np.errstate(over="ignore"):
-                a = np.where(gone, W.mix(a ^ W.mix(doc.view(W.U) + W.U(9))), a)
-            yield pa.RecordBatch.from_arrays([W.signed(a), W.signed(name), pa.array(doc), pa.array(gone)], ["anchor", "name", "doc_id", "gone"])
+                # the lowest bit of an anchor says so, as a column of its own would cost a word a row
+                a = np.where(gone, W.mix(a ^ W.mix(doc.view(W.U) + W.U(9))) | W.U(1), a & ~W.U(1))
+            yield pa.RecordBatch.from_arrays([W.signed(a), W.signed(name), pa.array(doc)], ["anchor", "name", "doc_id"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Begins of the windows of resolved runs, hashes of the windows of open ones."""
@@ -178,10 +179,10 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *lists], ["doc_id", "text_hash", "gone", "at", "k1", "k2"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    named = rows.select("doc_id", "text").mapInArrow(run_rows, "anchor long, name long, doc_id long, gone boolean")
+    named = rows.select("doc_id", "text").mapInArrow(run_rows, "anchor long, name long, doc_id long")
     whole = "over (partition by anchor order by name rows between unbounded preceding and unbounded following)"
     same = "min(doc_id) over (partition by anchor, name)"
-    named = named.select("doc_id", "name", F.expr(f"min(doc_id) {whole} < max(doc_id) {whole}").alias("more"), F.expr(f"min(name) {whole} < max(name) {whole}").alias("mixed"), F.expr(f"gone or {same} < doc_id").alias("gone"))
+    named = named.select("doc_id", "name", F.expr(f"min(doc_id) {whole} < max(doc_id) {whole}").alias("more"), F.expr(f"min(name) {whole} < max(name) {whole}").alias("mixed"), F.expr(f"anchor & 1 = 1 or {same} < doc_id").alias("gone"))
     flags = saved(named.where("gone or more and mixed").select("doc_id", "name", "gone"))
     of_doc = flags.groupBy("doc_id").agg(F.collect_list(F.when(F.col("gone"), F.col("name"))).alias("gone"), F.collect_list(F.when(~F.col("gone"), F.col("name"))).alias("open"))
     found = saved(rows.join(of_doc, "doc_id").select("doc_id", "text", "text_hash", "gone", "open").mapInArrow(resolve, "doc_id long, text_hash long, gone array<int>, at array<int>, k1 array<bigint>, k2 array<int>"))
