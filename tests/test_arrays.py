@@ -146,12 +146,11 @@ def smooth(shape, seed=3):
     return 2 * (a - a.min()) / (a.max() - a.min()) - 1
 
 
-@pytest.mark.parametrize("method", list(codec.METHODS))
-@pytest.mark.parametrize("shape", [(33,), (9, 7), (5, 4, 3), (3, 3, 4, 2)])
+@pytest.mark.parametrize(("method", "shape"), [*((m, (9, 7)) for m in codec.METHODS), ("cubic", (33,)), ("robust", (5, 4, 3)), ("ridge", (3, 3, 4, 2))])
 def test_stream_round_trip(spark, method, shape, tmp_path):
     """Within the bound, and what is read back from the bytes is what the encoder had."""
     reachable(spark)
-    a, plan = smooth(shape), stencils.axis_plan(shape, 3)
+    a, plan = smooth(shape), stencils.axis_plan(shape, 2)
     made = codec.coded(grid(spark, a), shape, plan, 0.02, method, [8] * len(shape))
     y = back(made.cells, shape)
     assert np.abs(y - a).max() <= 0.02 * (1 + 1e-6) and (made.coefficients is not None) == codec.METHODS[method].fitted
