@@ -353,3 +353,12 @@ def test_frames_cover_the_whole_plane(spark, tmp_path):
         top[k[:2]] = max(top.get(k[:2], (-np.inf,)), (cc, k[2:]))
     peaks = {(r.frame, r.region): (r.d0, r.d1) for r in registry.QUERIES["frame_subpixel_peak"](spark, str(tmp_path)).collect()}
     assert peaks == {k: at for k, (_, at) in top.items()}
+
+
+def test_equal_errors_are_exact_ties(spark):
+    """Where the mean stands for both Lorenzo predictions, their errors are the same to the last bit and the first by name is taken."""
+    a = np.random.default_rng(10).random((100, 100))
+    cells = grid(spark, a).repartition(8)
+    errors = {(r.b0, r.b1, r.predictor): r.err for r in P.block_errors(cells, (5, 5), 10.0, F.lit(float(a.mean()))).collect()}
+    assert len(errors) == 1200 and all(errors[i, j, "lorenzo1"] == errors[i, j, "lorenzo2"] for i, j in np.ndindex(20, 20))
+    assert {r.predictor for r in P.selected(cells, (5, 5), 10.0, F.lit(float(a.mean()))).collect()} <= {"lorenzo1", "regression"}
