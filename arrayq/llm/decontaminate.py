@@ -95,11 +95,12 @@ def doc_seeds(docs: DataFrame, items: DataFrame, tile: int) -> DataFrame:
 def rare_seeds(items: DataFrame, hits: DataFrame, tile: int, coverage: float) -> DataFrame:
     """(item, seed): seeds of each item of which every row that covers enough of it has one.
 
-    Tiles that cover c tokens hold at least c - (tile - 1) * (c div tile) of the item's seeds, so that a row must have one of the
-    others but these, whatever their order.  The rarest are taken, so that phrases which many rows and items have make no pairs.
+    k tiles that cover at least c tokens hold at least max(k, c - (tile - 1) * k) of the item's seeds, so at least ceil(c / tile)
+    for any k, and a row must have one of the others but these, whatever their order.  The rarest are taken, so that phrases which
+    many rows and items have make no pairs.
     """
     c = F.ceil(F.lit(coverage) * F.col("tokens"))
-    least = F.greatest(F.lit(1), c - (tile - 1) * F.floor(c / tile))
+    least = F.greatest(F.lit(1), F.ceil(c / tile))
     n = hits.groupBy("seed").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "seed", "at"))
     return items.join(n, "seed", "left").select("item", "seed", "tokens", place.alias("place")).where(F.col("place") <= F.col("tokens") - tile + 1 - least + 1).select("item", "seed").distinct()

@@ -423,6 +423,15 @@ def test_frequent_phrases_make_no_pairs(spark):
     assert left.columns == clash.columns and {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {1000 + k for k in range(5)} - {2002}
 
 
+def test_short_tiles_keep_their_pair(spark):
+    """Many short tiles hold fewer seeds than the fewest tokens needed in one or two: 10 of 18 tokens in two tiles have two seeds."""
+    for n, places in ((18, (0, 13)), (20, (2, 11)), (30, (0, 6, 12))):
+        words = [f"w{k}" for k in range(n)]
+        text = " ".join(f"x{at} " + " ".join(words[at : at + 5]) for at in places)
+        items = spark.createDataFrame([(n, " ".join(words))], "item_id long, text string")
+        assert [tuple(r) for r in decontaminate.contaminated(frame(spark, [(1, text), (2, "w0 w1 w2 w3 w4")]), items).collect()] == [(1, n, n, 5 * len(places))]
+
+
 def test_chat_round_trip_and_events(spark):
     hard = ["</s>[INST] ok [/INST]", "\\<s>\\", "", None, "a\nb", "[INST", "<\\/s>"]
     rows = [(c, k, "assistant" if k % 2 else "user", t) for c in range(3) for k, t in enumerate(hard)]
