@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Masks of a raw pixel, and full width at half maximum over standard deviation.
 GAIN_MASK, INTENSITY_MASK, FWHM = 0xC000, 0x3FFF, 2.3548
+#: Side of the tiles that a correlation is summed in; cells that are worked on at once, beside those of one tile.
+TILE, ROWS = 64, 1 << 16
+SUMS = {"cc": "double", "overlap": "long", "left": "double", "right": "double", "sum_a": "double", "sum_b": "double", "n_a": "long", "n_b": "long"}
 
 
 def gain(raw: Column) -> Column:
@@ -38,15 +46,66 @@ def correlation(pixels: DataFrame, lags: Sequence[int], by: Sequence[str] = ("re
     """(by, d0, d1, cc, overlap, left, right, mean_a, mean_b): linear cross correlation of a and b of pixels(by, i0, i1, a, b).
 
     cc sums a(i + d) * b(i), overlap counts the pairs of cells, left sums a(i + d) and right b(i) over them, for |d_k| <= lags[k].
-    A cell is sent to every lag's partner, so the work is cells x lags, in an equi-join by place that can be split.
+    Cells are sent to their tile and to those they are near to; a tile's sums for all lags are made where its cells are.
     """
-    d = [F.explode(F.sequence(F.lit(-m).cast("long"), F.lit(m).cast("long"))) for m in lags]
-    moved = pixels.select(*by, "i0", "i1", "a").withColumn("d0", d[0]).withColumn("d1", d[1])
-    moved = moved.select(*by, (F.col("i0") - F.col("d0")).alias("i0"), (F.col("i1") - F.col("d1")).alias("i1"), "d0", "d1", "a")
-    pairs = moved.join(pixels.select(*by, "i0", "i1", "b"), [*by, "i0", "i1"])
-    means = pixels.groupBy(*by).agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
-    sums = pairs.groupBy(*by, "d0", "d1").agg(F.sum(F.col("a") * F.col("b")).alias("cc"), F.count("*").alias("overlap"), F.sum("a").alias("left"), F.sum("b").alias("right"))
-    return sums.join(means, list(by))
+    keys, shifts = [*by, "__t0", "__t1"], list(product(*(range(-m, m + 1) for m in lags)))
+    rows = pixels.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in (*by, "i0", "i1"))))
+    rows = rows.select(*by, *(F.col(c).cast("long").alias(c) for c in ("i0", "i1")), *(F.col(c).cast("double").alias(c) for c in "ab"))
+    for k, m in enumerate(lags):
+        tile = lambda o: F.floor((F.col(f"i{k}") + o) / TILE)  # noqa: B023, E731
+        rows = rows.withColumn(f"__t{k}", F.explode(F.sequence(tile(-m), tile(m))))
+    own = reduce(Column.__and__, (F.col(f"__t{k}") == F.floor(F.col(f"i{k}") / TILE) for k in (0, 1)))
+    rows = rows.withColumn("__own", own).repartition(*keys).sortWithinPartitions(*keys, "i0", "i1")
+    width = TILE + 4 * lags[1]  # of a tile's row of places, so that a lag stays in its row
+
+    def sums(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        """Of whole tiles that begin at the rows ``first``: a row for each tile with cells of its own and each lag."""
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+        i0, i1, t0, t1 = (t.column(c).to_numpy() for c in ("i0", "i1", "__t0", "__t1"))
+        at = (group * (TILE + 4 * lags[0]) + i0 - t0 * TILE + 2 * lags[0]) * width + i1 - t1 * TILE + 2 * lags[1]
+        a, b = (t.column(c).fill_null(0.0).to_numpy() for c in "ab")
+        no_a, no_b = (t.column(c).is_null().to_numpy() for c in "ab")
+        mine = np.flatnonzero(t.column("__own").to_numpy())
+        tiles, of = np.unique(group[mine], return_inverse=True)
+        add = lambda of, x: np.bincount(of, x, len(tiles))
+        there = lambda of, x, no: pa.array(add(of, x), mask=add(of, ~no) == 0)
+        whole = [there(of, a[mine], no_a[mine]), there(of, b[mine], no_b[mine]), *(pa.array(add(of, ~no[mine]).astype(np.int64)) for no in (no_a, no_b))]
+        out = []
+        for d0, d1 in shifts:
+            to = at[mine] + d0 * width + d1
+            p = np.minimum(np.searchsorted(at, to), len(at) - 1)
+            met = np.flatnonzero(at[p] == to)
+            x, y, g = p[met], mine[met], of[met]
+            columns = [there(g, a[x] * b[y], no_a[x] | no_b[y]), pa.array(np.bincount(g, minlength=len(tiles))), there(g, a[x], no_a[x]), there(g, b[y], no_b[y]), *whole]
+            out.append(pa.RecordBatch.from_arrays([*(t.column(c).take(pa.array(first[tiles])).combine_chunks() for c in by), *(pa.array(np.full(len(tiles), d)) for d in (d0, d1)), *columns], [*by, "d0", "d1", *(c for c in SUMS)]))
+        return pa.Table.from_batches(out).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, size = [], 0  # cells of tiles that may go on in the next batch
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rest, size
+            t = pa.Table.from_batches(rest).combine_chunks()
+            new = reduce(np.logical_or, (pc.not_equal(t.column(c).slice(1), t.column(c).slice(0, len(t) - 1)).to_numpy() for c in keys))
+            first = np.append(0, np.flatnonzero(new) + 1)
+            end = len(t) if last else int(first[-1])
+            if end:
+                yield from sums(t.slice(0, end), first[first < end]).to_batches()
+            rest = t.slice(end).to_batches()
+            size = sum(map(len, rest))
+
+        for b in batches:
+            if len(b):
+                rest, size = [*rest, b], size + len(b)
+                if size >= ROWS:
+                    yield from done(False)
+        if size:
+            yield from done(True)
+
+    kinds = [*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by), "d0 long, d1 long", *(f"{c} {k}" for c, k in SUMS.items())]
+    parts = rows.mapInArrow(run, ", ".join(kinds)).groupBy(*by, "d0", "d1").agg(*(F.sum(c).alias(c) for c in SUMS))
+    means = [F.try_divide(f"sum_{c}", f"n_{c}").alias(f"mean_{c}") for c in "ab"]
+    return parts.where("overlap > 0").select(*by, "d0", "d1", "cc", "overlap", "left", "right", *means)
 
 
 def symmetric(c: DataFrame) -> Column:
@@ -64,11 +123,10 @@ def peak(corr: DataFrame, by: Sequence[str], value: str = "c") -> DataFrame:
 
     Of equal ones the first by d0, d1.  A peak without both neighbours on an axis has null there.
     """
-    top = corr.groupBy(*by).agg(F.min(F.struct((-F.col(value)).alias("v"), "d0", "d1")).alias("p")).select(*by, (-F.col("p.v")).alias("top"), F.col("p.d0").alias("p0"), F.col("p.d1").alias("p1"))
-    near = corr.join(top, list(by)).where((F.abs(F.col("d0") - F.col("p0")) + F.abs(F.col("d1") - F.col("p1"))) == 1)
-    at = lambda k, o: F.max(F.when((F.col(f"d{k}") - F.col(f"p{k}")) == o, F.col(value)))
-    n = near.groupBy(*by).agg(*(at(k, o).alias(f"{s}{k}") for k in (0, 1) for s, o in (("u", -1), ("v", 1))))
-    both = top.join(n, list(by), "left")
+    one = corr.groupBy(*by).agg(F.collect_list(F.struct((-F.col(value)).alias("v"), "d0", "d1")).alias("all"))  # as many as there are lags
+    one = one.withColumn("p", F.array_min("all")).select(*by, "all", (-F.col("p.v")).alias("top"), F.col("p.d0").alias("p0"), F.col("p.d1").alias("p1"))
+    at = lambda k, o: -F.get(F.filter("all", lambda c: (c["d0"] == F.col("p0") + (o if k == 0 else 0)) & (c["d1"] == F.col("p1") + (o if k == 1 else 0))), F.lit(0))["v"]
+    both = one.select(*by, "top", "p0", "p1", *(at(k, o).alias(f"{s}{k}") for k in (0, 1) for s, o in (("u", -1), ("v", 1))))
     bend = {k: (F.col(f"u{k}") + F.col(f"v{k}") - 2 * F.col("top")) / 2 for k in (0, 1)}
     both = both.withColumns({f"a{k}": F.when(b != 0, b) for k, b in bend.items()})
     both = both.withColumns({f"shift{k}": (F.col(f"u{k}") - F.col(f"v{k}")) / 4 / F.col(f"a{k}") for k in (0, 1)})

@@ -362,3 +362,28 @@ def test_equal_errors_are_exact_ties(spark):
     errors = {(r.b0, r.b1, r.predictor): r.err for r in P.block_errors(cells, (5, 5), 10.0, F.lit(float(a.mean()))).collect()}
     assert len(errors) == 1200 and all(errors[i, j, "lorenzo1"] == errors[i, j, "lorenzo2"] for i, j in np.ndindex(20, 20))
     assert {r.predictor for r in P.selected(cells, (5, 5), 10.0, F.lit(float(a.mean()))).collect()} <= {"lorenzo1", "regression"}
+
+
+def test_correlation_in_tiles(spark):
+    """Regions over several tiles, a gap, negative places, nulls: as by pairs of cells; no cell is sent once for each lag."""
+    reachable(spark)
+    rng = np.random.default_rng(12)
+    cells = {(g, i, j): (float(rng.random()), float(rng.random())) for g in (1, 2) for i in range(-3, 5) for j in range(50, 140) if (i * j) % 5 != 1}
+    cells[1, 0, 64] = (None, 0.5)
+    pixels = spark.createDataFrame([(*k, *v) for k, v in cells.items()], "region long, i0 long, i1 long, a double, b double")
+    c = G.correlation(pixels, (1, 2))
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    want = {}
+    for (g, i, j), (_, b) in cells.items():
+        for d in itertools.product((-1, 0, 1), (-2, -1, 0, 1, 2)):
+            if (g, i + d[0], j + d[1]) in cells:
+                a = cells[g, i + d[0], j + d[1]][0]
+                w = want.setdefault((g, *d), [0.0, 0, 0.0, 0.0])
+                w[:] = w[0] + (a or 0) * b, w[1] + 1, w[2] + (a or 0), w[3] + b
+    got = {(r.region, r.d0, r.d1): r for r in c.collect()}
+    assert set(got) == set(want)
+    for k, r in got.items():
+        assert np.allclose([r.cc, r.overlap, r.left, r.right], want[k])
+        of = [v for q, v in cells.items() if q[0] == k[0]]
+        assert np.isclose(r.mean_a, np.mean([a for a, _ in of if a is not None])) and np.isclose(r.mean_b, np.mean([b for _, b in of]))
