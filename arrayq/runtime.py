@@ -32,13 +32,33 @@ def query(f):
     return run
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet under ``spark.checkpoint.dir`` and read again, so that lost executors cost no recomputation of it."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession) -> str:
+    """A new path under ``spark.checkpoint.dir``, which all executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:  # only where the cluster names no folder, as in tests
         top = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/arrays/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{top.rstrip('/')}/arrays/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written as Parquet under ``spark.checkpoint.dir`` and read again, so that lost executors cost no recomputation of it.
+
+    by: a column of few values that each have a folder, so that a filter by it reads no other rows.
+    """
+    path = fresh(df.sparkSession)
+    df.write.parquet(path, partitionBy=by)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+class Levels:
+    """Tables of one schema, added level by level and read as one with the column level; each is saved as by saved()."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.spark, self.schema, self.path = spark, schema, fresh(spark)
+
+    def add(self, level: int, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.path}/level={level}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, level int").parquet(self.path)

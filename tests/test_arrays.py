@@ -364,6 +364,30 @@ def test_equal_errors_are_exact_ties(spark):
     assert {r.predictor for r in P.selected(cells, (5, 5), 10.0, F.lit(float(a.mean()))).collect()} <= {"lorenzo1", "regression"}
 
 
+@pytest.mark.parametrize("shape", [(67,), (23, 9), (7, 6, 5)])
+def test_neighbours_meet_in_tiles(spark, shape, monkeypatch):
+    """Over many small tiles as by single cells, and no cell is sent once for each of its neighbours."""
+    reachable(spark)
+    monkeypatch.setattr(codec, "TILE", 16)
+    a = np.random.default_rng(11).random(shape) + 1
+    cells, n = grid(spark, a), len(shape)
+    for step in stencils.axis_plan(shape, 3):
+        for own in (None, [tuple(o if k == n - 1 else 0 for k in range(n)) for o in (-3, -1, 1, 3)]):
+            known = cells.where(step.is_known())
+            rows = codec.neighbours(cells.where(step.is_target()), known, step, shape, "x", own)
+            assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+            has = {tuple(r)[:n]: r.x for r in known.collect()}
+            got = rows.collect()
+            assert len(got) == cells.where(step.is_target()).count() > 0
+            last = [(d - 1) // s * s for d, s in zip(shape, step.stride)]
+            for r in got:
+                assert r.x == a[tuple(r)[:n]]
+                for m, o in enumerate(own or step.stencil.offsets()):
+                    to = [i + q * s for i, q, s in zip(tuple(r)[:n], o, step.stride)]
+                    to = tuple(to if own else (min(max(t, 0), x) for t, x in zip(to, last)))
+                    assert r[f"n{m}"] == has.get(to, None if own else 0.0)
+
+
 def test_correlation_in_tiles(spark):
     """Regions over several tiles, a gap, negative places, nulls: as by pairs of cells; no cell is sent once for each lag."""
     reachable(spark)
